@@ -104,12 +104,13 @@ def schema_graph(df: DataFrame, json_col: str) -> DataFrame:
     return df.select(F.col(json_col).cast("string")).mapInArrow(count, GRAPH_SCHEMA).groupBy("path", "kind", "keys").agg(F.sum("n").alias("n"))
 
 
-def table_plan(graph: list[tuple[str, str, str, int]]) -> dict[str, str]:
+def table_plan(graph: list[tuple[str, str, str, int]], declared: Iterable[str] = ()) -> dict[str, str]:
     """Element path -> table for the paths that get tables. ``graph``: rows (path, kind, keys, n).
 
     A lone object at a path that is an array elsewhere counts as that array's element, so both spellings of the path
     are given. Only arrays with at least one object among their elements are tables; arrays of plain values stay
-    inlined as JSON.
+    inlined as JSON. ``declared``: paths (``$.a.b``) known to be arrays of objects even where these data only have
+    lone objects there.
     """
     kinds: dict[str, set[str]] = {}
     shapes: dict[str, set[str]] = {}
@@ -118,7 +119,7 @@ def table_plan(graph: list[tuple[str, str, str, int]]) -> dict[str, str]:
         kinds.setdefault(path, set()).add(kind)
         if kind == "object":
             shapes.setdefault(plain, set()).update(keys.split("\x1f") if keys else [])
-    repeated = {p.replace("[]", "") for p, ks in kinds.items() if p.endswith("[]") and "object" in ks}
+    repeated = {p.replace("[]", "") for p, ks in kinds.items() if p.endswith("[]") and "object" in ks} | {p for p in declared if p in shapes}
     plan: dict[str, str] = {}
     by_key: dict[str, list[str]] = {}
     for path in sorted(shapes, key=lambda p: (p.count("."), p)):
@@ -188,12 +189,12 @@ def shred(df: DataFrame, key_col: str, json_col: str, plan: dict[str, str] | Non
     return df.select(F.col(key_col).cast("string"), F.col(json_col).cast("string")).mapInArrow(rows, ROW_SCHEMA)
 
 
-def plan_of(df: DataFrame, json_col: str) -> dict[str, str]:
+def plan_of(df: DataFrame, json_col: str, declared: Iterable[str] = ()) -> dict[str, str]:
     """The table plan from the schema graph of the whole of ``df``."""
     graph = schema_graph(df, json_col).limit(MAX_PATHS + 1).collect()
     if len(graph) > MAX_PATHS:
         raise ValueError(f"more than {MAX_PATHS} distinct paths: keys are data here, not a schema")
-    return table_plan([(r["path"], r["kind"], r["keys"], r["n"]) for r in graph])
+    return table_plan([(r["path"], r["kind"], r["keys"], r["n"]) for r in graph], declared)
 
 
 def tables(df: DataFrame, key_col: str, json_col: str) -> dict[str, DataFrame]:
