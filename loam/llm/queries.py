@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import splitting
+from loam.llm import incremental, neighbours, splitting, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,37 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where((F.col("chunk_no") == 0) & ~F.col("stored_valid")).select("id").distinct()
 
 
+def memory_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, grp, unit): the usable vector of each memory, from its entry or from its newest record of the companion store."""
+    entries = vectors.unit_rows(table(spark, sf_dir, "memory_entries"), "vector", ["id", "scope"])
+    records = vectors.unit_rows(table(spark, sf_dir, "vector_records"), "vector_json", ["id", "scope", "updated_at"], drop=False)
+    newest = records.groupBy("id").agg(F.max_by(F.struct("scope", "unit"), F.coalesce("updated_at", F.lit(float("-inf")))).alias("r"))
+    newest = newest.select("id", "r.scope", "r.unit").where("unit is not null")
+    return entries.unionByName(newest).select("id", F.col("scope").alias("grp"), "unit")
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, neighbour, cosine): the 5 most similar memories of the same scope."""
+    return neighbours.nearest(memory_vectors(spark, sf_dir), 5)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b): pairs of cosine >= 0.9 of which one is among the 5 most similar of the other."""
+    near = p3_neighbours(spark, sf_dir).where(F.col("cosine") >= 0.9)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cand_id, kept_id): kept_id is null for an accepted candidate."""
+    found = incremental.replay(table(spark, sf_dir, "dedup_candidates"))
+    return found.select(F.col("id").alias("cand_id"), "kept_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kept_id, cand_id): each duplicate with the smallest accepted candidate that it duplicates."""
+    return p4_verdicts(spark, sf_dir).where("kept_id is not null").select("kept_id", "cand_id").distinct()
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
