@@ -235,7 +235,7 @@ def resolve(nodes: DataFrame, links: DataFrame, taken: DataFrame | None = None,
             out = _finish([(i, a) for w, i, a, _ in rows if w == "n"], [(a, b) for w, _, a, b in rows if w == "l"], {a: i for w, i, a, _ in rows if w == "t"})
             return pa.table({"id": pa.array(list(out), pa.int64()), "kept_id": pa.array(list(out.values()), pa.int64())})
 
-        parts.append(rows.groupBy(F.lit(1)).applyInArrow(finish, "id bigint, kept_id bigint"))
+        parts.append(rows.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(finish, "id bigint, kept_id bigint"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

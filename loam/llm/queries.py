@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import incremental, neighbours, splitting, vectors
+from loam.llm import clustering, incremental, neighbours, splitting, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_verdicts(spark, sf_dir).where("kept_id is not null").select("kept_id", "cand_id").distinct()
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.unit_rows(table(spark, sf_dir, "compaction_entries"), "vector", ["id", "scope"])
+    return clustering.clusters(rows.select("id", F.col("scope").alias("grp"), "unit"))
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster, scope, size, n_markov, typical): each cluster with its size and its three most typical members."""
+    return clustering.described(_clusters(spark, sf_dir)).withColumnRenamed("grp", "scope")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b): each member of a cluster but the smallest, with the smallest."""
+    found = _clusters(spark, sf_dir).where(F.col("id") != F.col("cluster"))
+    return found.select(F.col("cluster").alias("id_a"), F.col("id").alias("id_b")).distinct()
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
