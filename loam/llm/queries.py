@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import clustering, incremental, neighbours, splitting, vectors
+from loam.llm import clustering, incremental, leaks, neighbours, splitting, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("cluster").alias("id_a"), F.col("id").alias("id_b")).distinct()
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, run_words, item_words, score, share): literal and edited copies of items in documents."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where((F.col("share") >= 0.5) | (F.col("run_words") >= F.least(F.lit(leaks.RUN), "item_words"))).distinct()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id): the document holds 12 consecutive words of the item, or the whole item if it has fewer."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where(F.col("run_words") >= F.least(F.lit(leaks.RUN), "item_words")).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
