@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import clustering, incremental, leaks, neighbours, splitting, vectors
+from loam.llm import abuse, clustering, incremental, leaks, neighbours, splitting, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("run_words") >= F.least(F.lit(leaks.RUN), "item_words")).select("doc_id", "item_id").distinct()
 
 
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, abusive, hateful, explicit, score) of every document."""
+    return abuse.scores(table(spark, sf_dir, "documents"), keep=("source",))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of abusive, hateful and explicit documents per source."""
+    return abuse.source_rates(p9_scores(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): documents whose score reaches the threshold."""
+    return abuse.scores(table(spark, sf_dir, "documents")).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
