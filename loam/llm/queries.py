@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import abuse, clustering, incremental, leaks, neighbours, splitting, vectors
+from loam.llm import abuse, clustering, incremental, leaks, mixing, neighbours, splitting, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("run_words") >= F.least(F.lit(leaks.RUN), "item_words")).select("doc_id", "item_id").distinct()
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, shard, block, n_tokens, repeats): the documents of the mix."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's target and actual share."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, abusive, hateful, explicit, score) of every document."""
     return abuse.scores(table(spark, sf_dir, "documents"), keep=("source",))
