@@ -3,9 +3,9 @@
 A record has two attributes: its set of distinct words and its vector. Records are duplicates if their word sets share
 70 % of all their words or their vectors have cosine 0.9. Both are found by sorting on several keys:
 
-* a word set has a key for each word of its prefix in a fixed order of words, rare first. Two sets that are similar
-  enough share such a word, so this finds all; within the run of one key, sorted by size, the window of a set holds
-  the sizes that can still be similar enough.
+* a word set has a key for each rare word, and each triple of frequent words, of a prefix in a fixed order of words. Two
+  sets that are similar enough share such a key (``keys_of``), so this finds all; within the run of one key, sorted by
+  size, the window of a set ends where sizes can't be similar enough. Bitmaps of the words rule out most of a window.
 * a vector has ``TABLES[depth]`` keys: under as many random rotations, the ``depth`` largest coordinates with their
   signs. At cosine 0.9 a pair shares a run with probability 0.999 (``depth`` 1) or more; longer keys for larger
   collections keep runs short. The window of a vector is its run, compared by one-byte sketches; the pairs that pass
@@ -26,7 +26,8 @@ with one id count once.
 from __future__ import annotations
 
 import hashlib
-import math
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ COSINE, SHARED = 0.9, 0.7
 TABLES = {1: 11, 2: 28, 3: 63}
 #: rows in a run of vectors that a depth may lead to on average
 RUN = 2_000
+#: words in a set up to which its frequent words make triples
+SHORT = 40
 #: words in more than 1 / FREQUENT of the word sets are ordered last; there are at most FREQUENT x (words a set) of these
 FREQUENT = 10_000
 #: undecided records that one task finishes
@@ -74,35 +77,121 @@ def frequent_words(sets: DataFrame, n: int) -> dict[int, int]:
     return {r[0]: i for i, r in enumerate(sorted(counts.collect(), key=lambda r: (r[1], r[0])))}
 
 
+def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of equally long columns."""
+    h = np.full(len(parts[0]), 0x9E3779B97F4A7C15, np.uint64)
+    with np.errstate(over="ignore"):
+        for x in parts:
+            h = (h ^ x.view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+@lru_cache(None)
+def _triples(k: int) -> np.ndarray:
+    return np.array(list(combinations(range(k), 3)), np.int64).reshape(-1, 3)
+
+
+def keys_of(ids: list[int], rank: dict[int, int]) -> np.ndarray:
+    """The sort keys of a word set.
+
+    Of two sets that share enough, the first shared word in the order (rare words by hash, then the frequent ones by
+    rank) is in both prefixes. If it is rare, it is a key. Else all shared words are frequent, and the sets share three
+    of the prefix of their frequent words, longer by two: triples of these are keys. In sets of more than ``SHORT``
+    words that would be too many, so those, and the sets that may be similar to them, have single words there too.
+    """
+    n = len(ids)
+    least = -(-7 * n // 10)
+    rare = sorted(w for w in ids if w not in rank)
+    often = sorted((w for w in ids if w in rank), key=rank.__getitem__)
+    out = [_mixed([np.array(rare[: n - least + 1], np.int64)])] if rare else []
+    if len(often) >= least:
+        if 3 <= n <= SHORT:
+            t = np.array(often[: len(often) - least + 3], np.int64)[_triples(min(len(often), len(often) - least + 3))]
+            out.append(_mixed([t[:, 0], t[:, 1], t[:, 2]]))
+        if n >= 0.7 * SHORT:
+            out.append(_mixed([np.array(often[: len(often) - least + 1], np.int64)]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def word_keys(sets: DataFrame, rank: dict[int, int]) -> DataFrame:
-    """(key, size, place, ws, words): one row for each prefix word."""
+    """(key, size, ws, low, high): a row for each key of each set; low and high are a bitmap of its words."""
+
+    def rows(batches):
+        for batch in batches:
+            keys, sizes, bits = [], [], []
+            for ids in batch.column(1).to_pylist():
+                keys.append(keys_of(ids, rank))
+                sizes.append(len(ids))
+                low = high = 0
+                for w in ids:
+                    if w & 64:
+                        low |= 1 << (w & 63)
+                    else:
+                        high |= 1 << (w & 63)
+                bits.append((low, high))
+            n = np.array([len(k) for k in keys], np.int64)
+            at = np.repeat(np.arange(len(n)), n)
+            maps = np.array(bits, np.uint64).reshape(-1, 2).view(np.int64)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.array(sizes, np.int32)[at]), batch.column(0).take(pa.array(at)), pa.array(maps[:, 0]), pa.array(maps[:, 1])], names=["key", "size", "ws", "low", "high"])
+
+    return sets.select(F.xxhash64("ws").alias("ws"), "words").mapInArrow(rows, "key bigint, size int, ws bigint, low bigint, high bigint")
+
+
+def window_pairs(key: np.ndarray, size: np.ndarray, name: np.ndarray, low: np.ndarray, high: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the runs of sorted keys that may be similar and of which one is fresh, offset by offset.
+
+    The words that only one of two sets has set at most as many differing bits, so no similar pair is lost."""
+    left, right = [], []
+    at = np.arange(len(key))
+    d = 1
+    while len(at := at[at + d < len(key)]):
+        at = at[key[at] == key[at + d]]
+        # sizes grow within a run, so the window of a set ends where its size is too small
+        at = at[size[at] * 10 >= size[at + d] * 7]
+        i, j = at, at + d
+        total = size[i] + size[j]
+        apart = np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j]).astype(np.int32)
+        good = (17 * (total - apart) >= 14 * total) & (fresh[i] | fresh[j]) & (name[i] != name[j])
+        left.append(name[i[good]])
+        right.append(name[j[good]])
+        d += 1
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def word_links(new: DataFrame | None, keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of a new and any word set, both ways, that share enough words.
+
+    new: (ws) names of the new sets, or None if all are; keys: key rows; sets: (ws, words)."""
+    marked = keys.withColumn("fresh", F.lit(True)) if new is None else keys.join(new.select(F.xxhash64("ws").alias("ws"), F.lit(True).alias("fresh")).distinct(), "ws", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
 
     def rows(batches):
+        rest = None
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for ws, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(ids)
-                order = sorted(ids, key=lambda w: (rank.get(w, -1), w))
-                for place, w in enumerate(order[: n - math.ceil(SHARED * n - 1e-9) + 1]):
-                    for column, value in zip(out, (w, n, place, ws, ids)):
-                        column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["key", "size", "place", "ws", "words"])
-
-    return sets.select("ws", "words").mapInArrow(rows, "key bigint, size int, place int, ws string, words array<bigint>")
-
-
-def word_links(new: DataFrame, all_keys: DataFrame) -> DataFrame:
-    """(a, b): pairs of a new and any word set, both ways, that share enough words. Inputs: key rows."""
-    a, b = (k.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", "size", "place", "ws", "words")]) for k, side in ((new, "a"), (all_keys, "b")))
-    least = F.ceil(F.lit(SHARED / (1 + SHARED)) * (F.col("a_size") + F.col("b_size")) - 1e-6)
-    window = (F.col("b_size") * 10 >= F.col("a_size") * 7) & (F.col("a_size") * 10 >= F.col("b_size") * 7)
-    possible = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= least
-    pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_ws") != F.col("b_ws")) & window & possible)
-    shared = F.size(F.array_intersect("a_words", "b_words"))
-    found = pairs.where(shared * 10 >= (F.col("a_size") + F.col("b_size") - shared) * 7)
-    found = found.select(F.col("a_ws").alias("a"), F.col("b_ws").alias("b"))
-    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "size", "ws", "low", "high", "fresh")]
+            if rest is not None:
+                part = [np.concatenate(x) for x in zip(rest, part)]
+            # the last run may go on in the next batch
+            end = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
+            rest = [x[end:] for x in part]
+            yield pairs([x[:end] for x in part])
+        if rest is not None:
+            yield pairs(rest)
+
+    def pairs(part):
+        a, b = window_pairs(*part)
+        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    found = marked.select("key", "size", "ws", "low", "high", "fresh").repartition("key").sortWithinPartitions("key", "size").mapInArrow(rows, "a bigint, b bigint").distinct()
+    words_of = sets.select(F.xxhash64("ws").alias("h"), "ws", "words").dropDuplicates(["h"])
+    found = found.join(words_of.select(F.col("h").alias("a"), F.col("ws").alias("wa"), F.col("words").alias("xa")), "a").join(words_of.select(F.col("h").alias("b"), F.col("ws").alias("wb"), F.col("words").alias("xb")), "b")
+    shared = F.size(F.array_intersect("xa", "xb"))
+    found = found.where(shared * 10 >= (F.size("xa") + F.size("xb") - shared) * 7).select(F.col("wa").alias("a"), F.col("wb").alias("b"))
+    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def depth_of(n: int) -> int:
@@ -253,7 +342,7 @@ def replay(df: DataFrame, id_col: str = "cand_id", text_col: str = "abstract", v
     keys = written(word_keys(sets, frequent_words(sets, sets.count())), "word-keys")
     units = written(records.where("vs is not null").select("vs", "unit").dropDuplicates(["vs"]), "units")
     runs = vector_keys(units, depth_of(units.count()))
-    links = word_links(keys, keys).unionByName(vector_links(None, runs, units))
+    links = word_links(None, keys, sets).unionByName(vector_links(None, runs, units))
     found = resolve(_nodes(records), links, last=last)
     bare = records.where("ws is null and vs is null").select("id", F.lit(None).cast("bigint").alias("kept_id"))
     return found.unionByName(bare)
@@ -280,6 +369,7 @@ class History:
         if self.rank is None:
             self.rank = frequent_words(sets, sets.count())
         run = f"run-{self.n}"
+        sets.write.parquet(f"{self.at}/sets/{run}")
         word_keys(sets, self.rank).sort("key", "size").write.parquet(f"{self.at}/words/{run}")
         units = written(records.where("vs is not null").select("vs", "unit").dropDuplicates(["vs"]), "units")
         units.write.parquet(f"{self.at}/units/{run}")
@@ -289,7 +379,8 @@ class History:
         new = self.spark.read.parquet(f"{self.at}/words/{run}")
         fresh = units.select("vs")
         touched = self._read("vectors").join(self.spark.read.parquet(f"{self.at}/vectors/{run}").select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "vs"])
-        links = word_links(new, self._read("words").dropDuplicates(["key", "ws"])).unionByName(vector_links(fresh, touched, self._read("units").dropDuplicates(["vs"])))
+        near = self._read("words").join(new.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "ws"])
+        links = word_links(sets, near, self._read("sets")).unionByName(vector_links(fresh, touched, self._read("units").dropDuplicates(["vs"])))
         taken = self.spark.read.parquet(*[f"{self.at}/accepted/run-{k}" for k in self._kept[:-1]]) if len(self._kept) > 1 else None
         found = written(resolve(_nodes(records), links, taken), "found")
         bare = records.where("ws is null and vs is null").select("id", F.lit(None).cast("bigint").alias("kept_id"))
@@ -299,7 +390,7 @@ class History:
     def compact(self) -> None:
         """One sorted run in place of all."""
         run = f"run-{self.n}"
-        for name, key in (("words", ["key", "ws"]), ("units", ["vs"]), ("vectors", ["key", "vs"]), ("accepted", ["attr", "id"])):
+        for name, key in (("words", ["key", "ws"]), ("sets", ["ws"]), ("units", ["vs"]), ("vectors", ["key", "vs"]), ("accepted", ["attr", "id"])):
             self._read(name).dropDuplicates(key).repartitionByRange(*key).sortWithinPartitions(*key).write.parquet(f"{self.at}/{name}/{run}")
         self._kept = [self.n]
         self.n += 1
