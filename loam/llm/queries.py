@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import abuse, clustering, incremental, leaks, mixing, neighbours, splitting, vectors
+from loam.llm import abuse, clustering, incremental, leaks, mixing, neighbours, pii, splitting, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where((F.col("chunk_no") == 0) & ~F.col("stored_valid")).select("id").distinct()
 
 
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, metadata) with typed placeholders."""
+    return pii.redacted(table(spark, sf_dir, "memory_entries"), "id", ["text", "metadata"], {"metadata"})
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, field, kind): fields that hold at least one item of the kind in clear."""
+    return pii.items(table(spark, sf_dir, "memory_entries"), "id", ["text", "metadata"], {"metadata"}).select("id", "field", "kind").distinct()
+
+
 def memory_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, grp, unit): the usable vector of each memory, from its entry or from its newest record of the companion store."""
     entries = vectors.unit_rows(table(spark, sf_dir, "memory_entries"), "vector", ["id", "scope"])
