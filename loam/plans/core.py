@@ -420,7 +420,7 @@ def admission_windows(spark, d):
     return admission.windows(memory.entries(spark, d), "timestamp_ms", AS_OF_MS)
 
 
-@query("WITH e AS (SELECT event_type AS line, epoch_ms(ts) AS t_ms FROM events), r AS (SELECT lower(line) AS key, round(sum(0.95 / (1 + exp(0.65 * (greatest(0.0, (1712000000000 - t_ms) / 86400000.0) - 7)))), 9) AS score, max(t_ms) AS last_ms FROM e GROUP BY 1) SELECT key, round(score, 6) AS score, last_ms FROM r")
+@query("WITH e AS (SELECT event_type AS line, epoch_us(ts) // 1000 AS t_ms FROM events), r AS (SELECT lower(line) AS key, round(sum(0.95 / (1 + exp(0.65 * (greatest(0.0, (1712000000000 - t_ms) / 86400000.0) - 7)))), 9) AS score, max(t_ms) AS last_ms FROM e GROUP BY 1) SELECT key, round(score, 6) AS score, last_ms FROM r")
 def reflection_rank(spark, d):
     lines = table(spark, d, "events").select(F.col("event_type").alias("line"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
     return reflection.ranked(lines, AS_OF_MS, limit=None).select("key", F.round("score", 6).alias("score"), F.col("at").alias("last_ms"))
