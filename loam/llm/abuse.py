@@ -82,8 +82,7 @@ class Decoder:
     """Restores disguised tokens; ``trigrams`` are the counts of the language model."""
 
     def __init__(self, trigrams: dict[str, int]):
-        known = known_words()
-        self.most = max(map(len, known))
+        self.known = known = known_words()
         self.trie: dict = {}
         own: Counter = Counter(trigrams)
         for w in known:
@@ -186,7 +185,16 @@ _DISGUISE = re.compile(r"[^\W\d_][\d@$*!|+#._~·-]+[^\W\d_]|[\d@$!|+*][^\W\d_]|[
 
 def restored(sentence: str, decoder: Decoder) -> tuple[list[str], list[str]]:
     """Folded restored words, and those that may name a group, as they are restored."""
-    sentence = _SPACED.sub(lambda m: m.group().replace(" ", ""), sentence)
+
+    def joined(m: re.Match) -> str:
+        """Spaced letters as a token; the first may be a word of its own, as in "a l o s e r"."""
+        s = m.group().replace(" ", "")
+        low = words.folded(s)
+        if decoder.decode(low) not in decoder.known and decoder.decode(low[1:]) in decoder.known:
+            return f"{s[0]} {s[1:]}"
+        return s
+
+    sentence = _SPACED.sub(joined, sentence)
     out, groups = [], []
     for token in _TOKEN.findall(sentence):
         low = words.folded(token)
