@@ -180,7 +180,7 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(words.visible(text)) if s and not s.isspace()]
 
 
-_DISGUISE = re.compile(r"[^\W\d_][\d@$*!|+#._~·-]+[^\W\d_]|[\d@$!|+*][^\W\d_]|[^\W\d_]\*|(.)\1\1", re.UNICODE)
+_DISGUISE = re.compile(r"[^\W\d_][\d@$*!|+#._~·-]+[^\W\d_]|[\d@$!|+*][^\W\d_]|[^\W\d_]\*|[^\W\d_][013457@$](?!\w)|(.)\1\1")
 
 
 def restored(sentence: str, decoder: Decoder) -> tuple[list[str], list[str]]:
@@ -227,7 +227,7 @@ def score_words(ws: list[str], groups: list[str]) -> tuple[float, float, float]:
     if threat:
         abusive = 0.9
     elif insult:
-        abusive = 0.85 if person or len(ws) <= 6 else 0.4
+        abusive = 0.85 if person or len(ws) <= 4 else 0.4
     elif have & _MILD and person:
         abusive = 0.3
     there = bool(groups) or bool(have & _GROUPS)
