@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loam.functions import embed
 from loam.functions import scores as S
 from loam.functions import text as T
-from loam.operators import admission, chunking, gates, governance, groups, lifecycle, memory, reflection, search
+from loam.operators import admission, chunking, extract, gates, governance, groups, lifecycle, memory, nesting, reflection, search, writes
 from loam.operators.memory import AS_OF_MS
 from loam.streaming import state
 
@@ -463,6 +463,75 @@ def rate_windows(spark, d):
     return state.rate_windows(x).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(r"WITH d AS (SELECT doc_id, unnest(list_distinct([regexp_replace(u, '[.,;:!?。！？、，；：)\]}）]+\z', '') FOR u IN regexp_extract_all(coalesce(text, ''), '(?i)https?://[^\s<>''\"\])}，。；、]+')])) AS url FROM documents) SELECT doc_id, url FROM d")
+def document_urls(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(extract.urls(F.col("text"))).alias("url"))
+
+
+@query()
+def document_artifacts(spark, d):
+    return extract.artifacts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(r"SELECT doc_id, list_sort(list_distinct([lower(t) FOR t IN regexp_extract_all(coalesce(text, ''), '(?i)(?:proj|env|team|scope):[A-Za-z0-9_-]+')]))::VARCHAR AS tags FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)(?:proj|env|team|scope):[A-Za-z0-9_-]+')")
+def tag_tokens(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.array_sort(extract.tags(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    return x.select("doc_id", F.concat(F.lit("["), F.array_join("t", ", "), F.lit("]")).alias("tags"))
+
+
+@query()
+def sanitized_texts(spark, d):
+    return memory.entries(spark, d, ["id", "text"]).select("id", extract.sanitized(F.col("text")).alias("text"))
+
+
+@query(rf"""WITH {TX}, l AS (SELECT id, {sql_trim("unnest(string_split(text, chr(10)))")} AS line FROM tx), b AS (SELECT DISTINCT id, {sql_trim("regexp_replace(regexp_replace(substring(line, 2), '[*][*]', '', 'g'), '(?i)^(invariants?|reflections?|derived)[:：]\s*', '')")} AS line FROM l WHERE regexp_matches(line, '^[-*]\s')), s AS (SELECT id, line, CASE WHEN regexp_matches(line, {_s(extract.DELTA)}) THEN 'derived' WHEN regexp_matches(line, {_s(extract.RULE)}) THEN 'invariant' END AS kind FROM b WHERE line <> '' AND NOT regexp_matches(line, {_s(extract.PLACEHOLDER)}) AND NOT {sql_any("line", extract.UNSAFE)}) SELECT id, kind, count(*) AS n FROM s WHERE kind IS NOT NULL GROUP BY id, kind""")
+def reflection_slices(spark, d):
+    lines = memory.entries(spark, d, ["id", "text"]).select("id", F.explode(reflection.bullets(F.regexp_replace("text", "\r", ""))).alias("line"))
+    return extract.slices(lines.distinct()).distinct().groupBy("id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("WITH q AS (SELECT doc_id AS path, lower(coalesce(text, '')) AS h FROM documents), s AS (SELECT path, round(least(0.99, 0.1 + CASE WHEN contains(h, 'search panel') THEN 0.35 ELSE 0.0 END + least(0.55, (contains(h, 'search')::INT + contains(h, 'panel')::INT) / 2.0)), 6) AS score, contains(h, 'search') OR contains(h, 'panel') AS hit FROM q) SELECT path, score FROM s WHERE hit AND score >= 0.15 ORDER BY score DESC, path LIMIT 20")
+def file_search(spark, d):
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
+    return extract.search_files(files, "search panel", 20).select("path", "score")
+
+
+@query()
+def ingest_verdicts(spark, d):
+    return writes.ingested(memory.entries(spark, d, ["id", "text"])).groupBy("verdict", "detected").agg(F.count("*").alias("n"))
+
+
+@query("WITH t AS (SELECT DISTINCT id FROM memory_entries), v AS (SELECT DISTINCT id FROM vector_records) SELECT id, 'embed' AS action FROM t WHERE id NOT IN (SELECT id FROM v) UNION ALL SELECT id, 'delete' FROM v WHERE id NOT IN (SELECT id FROM t)")
+def repair_plan(spark, d):
+    return writes.repair_plan(memory.entries(spark, d, ["id"]), table(spark, d, "vector_records"))
+
+
+@query(f"WITH {NORM}, h AS (SELECT id, CASE WHEN json_extract_string(j, '$.memory_category') IS NULL AND category = 'other' AND coalesce(importance, 0.7) < 0.5 THEN 'archive' WHEN json_extract_string(j, '$.memory_category') IS NULL THEN 'normalise' ELSE 'keep' END AS action FROM norm) SELECT action, count(*) AS n FROM h GROUP BY action")
+def hygiene_counts(spark, d):
+    return writes.hygiene(memory.normalised(memory.entries(spark, d))).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MEM} SELECT id, scope, lead(id) OVER w AS superseded_by, lead(timestamp_ms) OVER w AS valid_to FROM mem WHERE scope IS NOT NULL AND timestamp_ms IS NOT NULL WINDOW w AS (PARTITION BY scope ORDER BY timestamp_ms, id)")
+def version_chains(spark, d):
+    x = memory.entries(spark, d).where("scope is not null and timestamp_ms is not null")
+    return governance.versions(x, "scope", "timestamp_ms").select("id", "scope", "superseded_by", "valid_to")
+
+
+@query()
+def support_stats(spark, d):
+    entries = memory.entries(spark, d)
+    rows = nesting.shred(entries, "id", "metadata").where(F.col("table") == "$.support_info.slices").dropDuplicates(["id", "node_path"])
+    get = lambda k, t: F.col("values")[k].try_cast(t)
+    x = rows.select("id", F.coalesce(F.col("values")["context"], F.lit("general")).alias("context"), get("confirmations", "bigint").alias("confirmations"), get("contradictions", "bigint").alias("contradictions"), get("last_observed_at", "bigint").alias("last_observed_at"))
+    return governance.support(x)
+
+
+@query("WITH a AS (SELECT * FROM (VALUES ('main', 'agent:main'), ('main', 'global'), ('guest', 'global')) AS v(agent, scope)) SELECT agent, count(DISTINCT id) AS n FROM (SELECT DISTINCT id, scope FROM memory_entries) m JOIN a ON m.scope = a.scope GROUP BY agent")
+def agent_access(spark, d):
+    access = spark.createDataFrame([("main", "agent:main"), ("main", "global"), ("guest", "global")], "agent string, scope string")
+    return memory.entries(spark, d, ["id", "scope"]).join(F.broadcast(access), "scope").groupBy("agent").agg(F.countDistinct("id").alias("n"))  # a configured list
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
 def pricing_summary(spark, d):
     x = table(spark, d, "lineitem").where("l_shipdate <= timestamp '1998-09-02'")
