@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,8 +24,10 @@ def utf16_len(c: Column) -> Column:
 
 def bounded(pattern: str) -> str:
     """``\\b`` next to ASCII word characters only, as in ECMAScript: Java's also takes CJK letters for words."""
-    left = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-    return pattern.replace(r"\b", left)
+    if pattern.isascii():  # before a letter only one side is left to test
+        pattern = re.sub(r"^((?:\(\?\w+\))?)\\b(?=[A-Za-z]|\((?:\?:)?[A-Za-z])", r"\1(?<![A-Za-z0-9_])", pattern)
+    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    return pattern.replace(r"\b", edge)
 
 
 def any_of(c: Column, patterns: list[str]) -> Column:

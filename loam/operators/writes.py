@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.operators import extract, gates, memory
+from loam.scratch import written
 
 #: Importance by kind of memory.
 IMPORTANCE = {"profile": 0.9, "preferences": 0.8, "entities": 0.7, "events": 0.6, "cases": 0.8, "patterns": 0.85}
@@ -19,6 +20,7 @@ def ingested(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     x = rows.withColumn("clean", extract.sanitized(F.col("text"))).withColumn("key", F.sha2(F.lower("clean"), 256))
     verdict = gates.capture_verdict(F.col("clean"))
     x = x.withColumn("verdict", F.when(verdict != "allowed", verdict).when(gates.is_noise(F.col("clean")), "noise").otherwise("accepted"))
+    x = written(x, "ingest")  # the gates run once
     first = x.where("verdict = 'accepted'").groupBy("key").agg(F.min("id").alias("first_id"))
     x = x.join(first, "key", "left").withColumn("verdict", F.when((F.col("verdict") == "accepted") & (F.col("id") != F.col("first_id")), "duplicate").otherwise(F.col("verdict")))
     if existing is not None:
