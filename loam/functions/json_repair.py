@@ -49,8 +49,7 @@ def repaired(text: str) -> str:
         out.append('"' + "".join(body) + '"')
         at = end + 1
     out.append(re.sub(r",(?=\s*[}\]])", "", text[at:]))
-    # a comma may stand before a bracket across a string's end
-    return re.sub(r",(\s*[}\]])", r"\1", "".join(out)) if '"' not in text else "".join(out)
+    return "".join(out)
 
 
 def loaded(text: str | None):
