@@ -2,8 +2,9 @@
 
 1. ``links``: vectors of one group are compared in runs. A group of up to ``RUN`` distinct vectors is one run; in a
    larger one, a vector joins the runs named by the largest coordinates under several random rotations (a pair of
-   cosine 0.88 shares one with probability 0.999). Of the links in a run, its task emits the ``DEGREE`` strongest of
-   each vector and a spanning forest: in proportion to the run, not to its pairs, and no connection is lost.
+   cosine 0.88 shares one with probability 0.9999). Of the links in a run, its task emits the ``DEGREE`` strongest of
+   each vector and a spanning forest: in proportion to the run, not to its pairs, and no connection is lost. A run
+   that like vectors make far longer than others is cut in blocks, of which every two meet in a task.
 2. ``markov``: the strongest links, with loops, make a stochastic matrix. It is squared by a join on the middle node,
    inflated, and small entries are pruned, until the flow is stable. The node that gets most of a node's flow is its
    attractor; an attractor's nodes are a cluster, whose members with the strongest inflow are its most typical ones.
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loam.llm import vectors
+from loam.llm import runs, vectors
 from loam.scratch import written
 
 COSINE, RUN, DEGREE = 0.88, 2_000, 8
-TABLES = {0: 1, 1: 14, 2: 36, 3: 80}
+TABLES = {0: 1, 1: 18, 2: 46, 3: 104}
 INFLATION, PRUNE, ROUNDS, STABLE = 2.0, 0.02, 12, 1e-3
 LAST = 200_000
 
@@ -104,7 +105,7 @@ def links(nodes: DataFrame, cosine: float = COSINE, degree: int = DEGREE) -> Dat
         a, b = node[i], node[j]
         return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64), "cosine": c.astype(np.float64), "tree": tree.astype(bool)})
 
-    pairs = run_keys(nodes).groupBy("key").applyInArrow(compare, "a bigint, b bigint, cosine double, tree boolean")
+    pairs = runs.cut(run_keys(nodes), "node", 8 * RUN).groupBy("key", "pair").applyInArrow(compare, "a bigint, b bigint, cosine double, tree boolean")
     return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.max("tree").alias("tree"))
 
 

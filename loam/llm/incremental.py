@@ -7,7 +7,7 @@ A record has two attributes: its set of distinct words and its vector. Records a
   sets that are similar enough share such a key (``keys_of``), so this finds all; within the run of one key, sorted by
   size, the window of a set ends where sizes can't be similar enough. Bitmaps of the words rule out most of a window.
 * a vector has ``TABLES[depth]`` keys: under as many random rotations, the ``depth`` largest coordinates with their
-  signs. At cosine 0.9 a pair shares a run with probability 0.999 (``depth`` 1) or more; longer keys for larger
+  signs. At cosine 0.9 a pair shares a run with probability 0.99996; longer keys for larger
   collections keep runs short. The window of a vector is its run, compared by one-byte sketches; the pairs that pass
   are checked with the exact vectors.
 
@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import vectors, words
+from loam.llm import runs, vectors, words
 from loam.scratch import written
 
 COSINE, SHARED = 0.9, 0.7
-#: keys of a vector by depth, for a chance below 0.001 that a pair of cosine 0.9 shares none (0.468, 0.223 and 0.105 share one)
-TABLES = {1: 11, 2: 28, 3: 63}
+#: keys of a vector by depth, for a chance of 0.00004 that a pair of cosine 0.9 shares none (0.468, 0.223 and 0.105 share
+#: one); at depth 0 all vectors are one run
+TABLES = {0: 1, 1: 16, 2: 40, 3: 92}
 #: rows in a run of vectors that a depth may lead to on average
 RUN = 2_000
 #: words in a set up to which its frequent words make triples
@@ -151,7 +152,7 @@ def window_pairs(key: np.ndarray, size: np.ndarray, name: np.ndarray, low: np.nd
         at = at[size[at] * 10 >= size[at + d] * 7]
         i, j = at, at + d
         total = size[i] + size[j]
-        apart = np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j]).astype(np.int32)
+        apart = sum(np.bitwise_count((m[i] ^ m[j]).view(np.uint64)).astype(np.int32) for m in (low, high))  # of signed numbers it would count the absolute value's
         good = (17 * (total - apart) >= 14 * total) & (fresh[i] | fresh[j]) & (name[i] != name[j])
         left.append(name[i[good]])
         right.append(name[j[good]])
@@ -196,7 +197,7 @@ def word_links(new: DataFrame | None, keys: DataFrame, sets: DataFrame) -> DataF
 
 def depth_of(n: int) -> int:
     """Coordinates in a key, so that runs of n vectors hold at most RUN on average."""
-    return 1 if n <= 128 * RUN else 2 if n <= 8_064 * RUN else 3
+    return 0 if n <= RUN else 1 if n <= 128 * RUN else 2 if n <= 8_064 * RUN else 3
 
 
 def _rotation(dim: int, table: int) -> np.ndarray:
@@ -213,6 +214,9 @@ def vector_keys(units: DataFrame, depth: int) -> DataFrame:
             names = batch.column(0)
             sketch = pa.array([r.tobytes() for r in np.rint(x * 127).astype(np.int8)], pa.binary())
             for t, turn in enumerate(turns):
+                if depth == 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int64)), names, sketch], names=["key", "vs", "sketch"])
+                    continue
                 y = x @ turn
                 top = np.argpartition(-np.abs(y), depth - 1, axis=1)[:, :depth]
                 signed = np.sort(top * 2 + (np.take_along_axis(y, top, 1) > 0), 1).astype(np.int64)
@@ -244,7 +248,7 @@ def vector_links(new: DataFrame, all_keys: DataFrame, units: DataFrame, block: i
         left, right = (np.concatenate(v) if v else np.array([], object) for v in (left, right))
         return pa.table({"a": pa.array(left, pa.string()), "b": pa.array(right, pa.string())})
 
-    pairs = marked.groupBy("key").applyInArrow(compare, "a string, b string")
+    pairs = runs.cut(marked, "vs", 8 * RUN).groupBy("key", "pair").applyInArrow(compare, "a string, b string")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     u = units.select("vs", "unit").dropDuplicates(["vs"])
     pairs = pairs.join(u.select(F.col("vs").alias("a"), F.col("unit").alias("ua")), "a").join(u.select(F.col("vs").alias("b"), F.col("unit").alias("ub")), "b")
@@ -283,7 +287,7 @@ def resolve(nodes: DataFrame, links: DataFrame, taken: DataFrame | None = None,
     nodes: (id, attr), a row for each attribute value of a record; links: (a, b), both ways; taken: (attr, id) of
     records accepted in earlier runs, all with smaller ids. Rounds: a record is a duplicate if a linked value has an
     accepted record with a smaller id; it is accepted if no linked value has a smaller record that is still undecided.
-    When at most ``last`` records are undecided, one task takes them in order.
+    When at most ``last`` records with ten times as many links are undecided, one task takes them in order.
     """
     spark = nodes.sparkSession
     links = written(links.distinct(), "links")
@@ -304,7 +308,8 @@ def resolve(nodes: DataFrame, links: DataFrame, taken: DataFrame | None = None,
         accepted = accepted.unionByName(taken.select("attr", "id"))
     accepted = written(accepted, "accepted")
     parts = [done]
-    while (n := todo.select("id").distinct().count()) > last:
+    near_of = lambda: links.where("a <> b").join(todo.select(F.col("attr").alias("a")).distinct(), "a", "left_semi")
+    while (n := todo.select("id").distinct().count()) > last or near_of().count() > 10 * last:
         least = todo.groupBy("attr").agg(F.min("id").alias("open_id"))
         state = links.join(least.withColumnRenamed("attr", "b"), "b", "left").join(accepted.groupBy("attr").agg(F.min("id").alias("acc_id")).withColumnRenamed("attr", "b"), "b", "left")
         state = state.groupBy("a").agg(F.min("open_id").alias("open_id"), F.min("acc_id").alias("acc_id"))
@@ -315,7 +320,7 @@ def resolve(nodes: DataFrame, links: DataFrame, taken: DataFrame | None = None,
         accepted = written(accepted.unionByName(todo.join(decided.where("kept_id is null"), "id", "left_semi").select("attr", "id")), "accepted")
         todo = written(todo.join(decided, "id", "left_anti"), "todo")
     if n:
-        near = links.where("a <> b").join(todo.select(F.col("attr").alias("a")).distinct(), "a", "left_semi")
+        near = near_of()
         known = accepted.join(todo.select("attr").union(near.select(F.col("b").alias("attr"))).distinct(), "attr", "left_semi").groupBy("attr").agg(F.min("id").alias("id"))
         rows = todo.select(F.lit("n").alias("what"), F.col("id"), F.col("attr").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(near.select(F.lit("l").alias("what"), F.lit(None).cast("bigint").alias("id"), "a", "b")).unionByName(known.select(F.lit("t").alias("what"), "id", F.col("attr").alias("a"), F.lit(None).cast("string").alias("b")))
 
@@ -341,8 +346,8 @@ def replay(df: DataFrame, id_col: str = "cand_id", text_col: str = "abstract", v
     sets = records.where("ws is not null").select("ws", "words").dropDuplicates(["ws"])
     keys = written(word_keys(sets, frequent_words(sets, sets.count())), "word-keys")
     units = written(records.where("vs is not null").select("vs", "unit").dropDuplicates(["vs"]), "units")
-    runs = vector_keys(units, depth_of(units.count()))
-    links = word_links(None, keys, sets).unionByName(vector_links(None, runs, units))
+    sketches = vector_keys(units, depth_of(units.count()))
+    links = word_links(None, keys, sets).unionByName(vector_links(None, sketches, units))
     found = resolve(_nodes(records), links, last=last)
     bare = records.where("ws is null and vs is null").select("id", F.lit(None).cast("bigint").alias("kept_id"))
     return found.unionByName(bare)
@@ -353,15 +358,12 @@ class History:
 
     def __init__(self, spark: SparkSession, at: str, depth: int = 1):
         self.spark, self.at, self.depth, self.n, self.rank = spark, at.rstrip("/"), depth, 0, None
+        self.kept: list[int] = []
 
     def _read(self, name: str) -> DataFrame | None:
-        paths = [f"{self.at}/{name}/{k}" for k in self.runs]
+        paths = [f"{self.at}/{name}/run-{k}" for k in self.kept]
         return self.spark.read.parquet(*paths) if paths else None
 
-    @property
-    def runs(self) -> list[str]:
-        return [f"run-{k}" for k in (self._kept if hasattr(self, "_kept") else [])]
-
     def merge(self, batch: DataFrame, id_col: str = "cand_id", text_col: str = "abstract", vec_col: str = "vector") -> DataFrame:
         """(id, kept_id) for the batch, whose ids are larger than all before; its keys are appended as a sorted run."""
         records = written(attributes(batch, id_col, text_col, vec_col).dropDuplicates(["id"]), "records")
@@ -374,14 +376,14 @@ class History:
         units = written(records.where("vs is not null").select("vs", "unit").dropDuplicates(["vs"]), "units")
         units.write.parquet(f"{self.at}/units/{run}")
         vector_keys(units, self.depth).sort("key").write.parquet(f"{self.at}/vectors/{run}")
-        self._kept = [*getattr(self, "_kept", []), self.n]
+        self.kept.append(self.n)
         self.n += 1
         new = self.spark.read.parquet(f"{self.at}/words/{run}")
         fresh = units.select("vs")
         touched = self._read("vectors").join(self.spark.read.parquet(f"{self.at}/vectors/{run}").select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "vs"])
         near = self._read("words").join(new.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "ws"])
         links = word_links(sets, near, self._read("sets")).unionByName(vector_links(fresh, touched, self._read("units").dropDuplicates(["vs"])))
-        taken = self.spark.read.parquet(*[f"{self.at}/accepted/run-{k}" for k in self._kept[:-1]]) if len(self._kept) > 1 else None
+        taken = self.spark.read.parquet(*[f"{self.at}/accepted/run-{k}" for k in self.kept[:-1]]) if len(self.kept) > 1 else None
         found = written(resolve(_nodes(records), links, taken), "found")
         bare = records.where("ws is null and vs is null").select("id", F.lit(None).cast("bigint").alias("kept_id"))
         _nodes(records).join(found.where("kept_id is null"), "id", "left_semi").select("attr", "id").write.parquet(f"{self.at}/accepted/{run}")
@@ -392,5 +394,5 @@ class History:
         run = f"run-{self.n}"
         for name, key in (("words", ["key", "ws"]), ("sets", ["ws"]), ("units", ["vs"]), ("vectors", ["key", "vs"]), ("accepted", ["attr", "id"])):
             self._read(name).dropDuplicates(key).repartitionByRange(*key).sortWithinPartitions(*key).write.parquet(f"{self.at}/{name}/{run}")
-        self._kept = [self.n]
+        self.kept = [self.n]
         self.n += 1
