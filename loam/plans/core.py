@@ -484,7 +484,7 @@ def sanitized_texts(spark, d):
     return memory.entries(spark, d, ["id", "text"]).select("id", extract.sanitized(F.col("text")).alias("text"))
 
 
-@query(rf"""WITH {TX}, l AS (SELECT id, {sql_trim("unnest(string_split(text, chr(10)))")} AS line FROM tx), b AS (SELECT DISTINCT id, {sql_trim("regexp_replace(regexp_replace(substring(line, 2), '[*][*]', '', 'g'), '(?i)^(invariants?|reflections?|derived)[:：]\s*', '')")} AS line FROM l WHERE regexp_matches(line, '^[-*]\s')), s AS (SELECT id, line, CASE WHEN regexp_matches(line, {_s(extract.DELTA)}) THEN 'derived' WHEN regexp_matches(line, {_s(extract.RULE)}) THEN 'invariant' END AS kind FROM b WHERE line <> '' AND NOT regexp_matches(line, {_s(extract.PLACEHOLDER)}) AND NOT {sql_any("line", extract.UNSAFE)}) SELECT id, kind, count(*) AS n FROM s WHERE kind IS NOT NULL GROUP BY id, kind""")
+@query(rf"""WITH {TX}, l AS (SELECT id, {sql_trim("unnest(string_split(text, chr(10)))")} AS line FROM tx), b AS (SELECT DISTINCT id, {sql_trim("regexp_replace(regexp_replace(substring(line, 2), '[*][*]', '', 'g'), '(?i)^(invariants?|reflections?|derived)[:：]\\s*', '')")} AS line FROM l WHERE regexp_matches(line, '^[-*]\s')), s AS (SELECT id, line, CASE WHEN regexp_matches(line, {_s(extract.DELTA)}) THEN 'derived' WHEN regexp_matches(line, {_s(extract.RULE)}) THEN 'invariant' END AS kind FROM b WHERE line <> '' AND NOT regexp_matches(line, {_s(extract.PLACEHOLDER)}) AND NOT {sql_any("line", extract.UNSAFE)}) SELECT id, kind, count(*) AS n FROM s WHERE kind IS NOT NULL GROUP BY id, kind""")
 def reflection_slices(spark, d):
     lines = memory.entries(spark, d, ["id", "text"]).select("id", F.explode(reflection.bullets(F.regexp_replace("text", "\r", ""))).alias("line"))
     return extract.slices(lines.distinct()).distinct().groupBy("id", "kind").agg(F.count("*").alias("n"))
