@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,25 @@ def test_compaction_merges(spark):
     assert [(r.seed, r.size, r.text, r.importance, r.category) for r in got] == [("b", 2, "Two\nthree\none", 0.9, "fact")]
 
 
+def test_compaction_of_large_scopes(spark):
+    """Scopes of several blocks, in which like vectors differ in signs, against the seed order by brute force."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 16)), 5, 0) + rng.normal(size=(300, 16)) * 0.35
+    x[:60] = x[0] + rng.normal(size=(60, 16)) * 0.1
+    rows = [(f"r{i:03}", "st"[i % 7 == 0], f"line {i % 11}", "fact", float(rng.integers(0, 5)) / 5, x[i].tolist()) for i in range(300)]
+    units = {r[0]: np.array(r[5]) / np.linalg.norm(r[5]) for r in rows}
+    want: dict[str, list[str]] = {}
+    scope = {r[0]: r[1] for r in rows}
+    for r in sorted(rows, key=lambda r: (-r[4], r[0])):
+        near = next((s for s in want if scope[s] == r[1] and units[s] @ units[r[0]] >= 0.88), r[0])
+        want.setdefault(near, []).append(r[0])
+    want = {s: m for s, m in want.items() if len(m) > 1}
+    df = spark.createDataFrame(rows, "id string, scope string, text string, category string, importance double, vector array<double>")
+    for block in (40, 5_000):
+        assert {r.seed: r.members for r in groups.compaction(df, block=block).collect()} == want
+    assert len({len(m) for m in want.values()}) > 3
+
+
 def test_kept_texts():
     assert groups.kept_texts(["aa", "bb", "cc"], [0.4] * 3, ["x"] * 3, 100) == [0, 1, 2]
     assert groups.kept_texts(["a" * 10] * 5, [0.4, 1.0, 0.4, 0.9, 0.4], ["", "tool_call", "", "", ""], 40) == [0, 1, 2, 4]
