@@ -387,7 +387,7 @@ def redacted_texts(spark, d):
 
 @query(f"WITH {TX} SELECT DISTINCT {sql_line(chr(114) + 'egexp_replace(lower(text), ' + chr(39) + '[0-9]+(\\.[0-9]+)?' + chr(39) + ', ' + chr(39) + '#' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS reason FROM tx WHERE length(text) < 200")
 def reason_keys(spark, d):
-    return memory.entries(spark, d, ["id", "text"]).where("length(coalesce(text, '')) < 200").select(gates.reason_key(F.col("text")).alias("reason")).distinct()
+    return memory.entries(spark, d, ["id", "text"]).select(gates.reason_key(F.col("text")).alias("reason")).distinct()
 
 
 @query(r"WITH f AS (SELECT doc_id, CASE WHEN len(tk) > 0 THEN list_distinct(list_concat(tk, flatten([[substring(t, i, 3) FOR i IN range(1, length(t) - 1)] FOR t IN tk IF length(t) > 3]))) WHEN low <> '' THEN [substring(low, 1, 64)] ELSE [] END AS fs FROM (SELECT doc_id, lower(coalesce(text, '')) AS low, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}|[㐀-鿿]+') AS tk FROM documents)), h AS (SELECT doc_id, sha1(unnest(fs)) AS h FROM f), w AS (SELECT doc_id, (('0x' || substring(h, 1, 8))::BIGINT % 256)::INT AS idx, sum(CASE WHEN ('0x' || substring(h, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS w FROM h GROUP BY 1, 2) SELECT doc_id, count(*) AS n, sum(w * w)::BIGINT AS norm2, sum(w * idx)::BIGINT AS checksum FROM w WHERE w <> 0 GROUP BY doc_id")

@@ -37,6 +37,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_reason_keys_of_any_length(spark, tmp_path):
+    text = "  Score 0.31 under 12 for " + "a long reason, " * 40 + "END "
+    spark.createDataFrame([("a", text), ("b", text.replace("12", "7")), ("c", "Score 3"), ("d", None)], "id string, text string").write.parquet(str(tmp_path / "memory_entries.parquet"))
+    got = {r.reason for r in entry.queries()["reason_keys"](spark, str(tmp_path)).collect()}
+    assert got == {"", "score #", ("score # under # for " + "a long reason, " * 40 + "end")}
+
+
 def test_shared_inlining(spark):
     recs = [
         ("a", json.dumps({"x": 1, "one": {"deep": {"z": "q"}}, "kids": [{"n": 1, "kids": [{"n": 2}]}, 7, {"n": 3}], "tags": ["u", "v"]})),
