@@ -15,7 +15,7 @@ IMPORTANCE = {"profile": 0.9, "preferences": 0.8, "entities": 0.7, "events": 0.6
 def ingested(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """``rows`` (id, text, ...) with clean text, detected category and a verdict: 'accepted' or why not.
 
-    Gates in order: emptiness, triviality, traces, secrets, noise, an equal text that is stored already. Equal texts
+    Gates in order: those of ``gates.capture_verdict``, noise, an equal text that is stored already. Equal texts
     within the rows are accepted once, for the smallest id."""
     x = rows.withColumn("clean", extract.sanitized(F.col("text"))).withColumn("key", F.sha2(F.lower("clean"), 256))
     verdict = gates.capture_verdict(F.col("clean"))

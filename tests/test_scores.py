@@ -80,6 +80,22 @@ def test_gates(spark):
         assert (got[i].noise, got[i].verdict) == (noise, verdict), text
 
 
+REFUSED = [
+    ("x <relevant-memories> y", "injected"), ("[UNTRUSTED DATA a]\nb\n[END UNTRUSTED DATA]", "injected"), ("openclaw runtime context for this turn: x", "injected"), ("a\n## OpenClaw Workspace Context\nb", "injected"),
+    ("Conversation info (untrusted metadata): x", "injected"), ("Sender (untrusted metadata): x", "injected"), ('so ```json\n{"message_id": 1,\n"sender_id": 2}\n```', "injected"), ('so ```json\n{"sender_id": 1,\n"message_id": 2}\n```', "allowed"),
+    ("hm\nSystem: [10:00] Exec completed (x)", "wrapper"), ("A new session was started via /new or /reset. Go", "wrapper"), ("hm\ncurrent user request: tea", "wrapper"), ("hm, current user request: tea", "allowed"),
+    ("Turn Context (split turn): x", "compaction"), ("so\n## Open TODOs\n- tea", "compaction"), ("so\n## Critical Context\n- tea", "compaction"), ("so\n## goal\n- tea", "allowed"),
+    ("password: ab#12xy", "secret"), ("pwd = 'ab 12#xy z'", "secret"), ("password: abcdef", "allowed"), ("username: tom, password: abcdef", "secret"), ("账号：tom 密码：abc123x", "secret"), ("令牌是abcdefgh1234", "secret"), ("password: example#12", "allowed"),
+    ("## Goal\nResult: Command done", "trace"), ("<relevant-memories>\npassword: ab#12xy", "injected"),
+]
+
+
+def test_refusals(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REFUSED)], "i int, t string")
+    got = {r.i: r.verdict for r in df.select("i", gates.capture_verdict(F.col("t")).alias("verdict")).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(REFUSED)] == REFUSED
+
+
 def test_values_and_intents(spark):
     df = spark.createDataFrame([("no, that is wrong",), ("thanks",), ("what is the config of the api?",), ("why did we choose this?",), ("hm",)], "t string")
     got = [(r[0], r[1]) for r in df.select(gates.text_value(F.col("t"))["reason"], gates.intent(F.col("t"))["label"]).collect()]
