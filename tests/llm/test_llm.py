@@ -186,17 +186,30 @@ def test_replay_and_history(spark, tmp_path):
     want = sequential(rows)
     frame = lambda rs: spark.createDataFrame(rs, "cand_id long, abstract string, vector array<double>").withColumn("words", F.lit(1)).withColumn("key", F.lit(2))
     df = frame(rows + rows[:7])
-    assert {r.id: r.kept_id for r in incremental.replay(df).collect()} == want
-    assert {r.id: r.kept_id for r in incremental.replay(df, last=0).collect()} == want  # all in rounds
-    history, got = incremental.History(spark, str(tmp_path / "h")), {}
-    for k, part in enumerate([rows[:100], rows[100:180], rows[180:]]):
+    assert {r.id: r.kept_id for r in incremental.replay(df, merges=2, compact_every=1).collect()} == want
+    assert {r.id: r.kept_id for r in incremental.replay(df, merges=1, last=0).collect()} == want  # all in rounds
+    got = {}
+    for k, part in enumerate([rows[:100], rows[:0], rows[100:180], rows[180:]]):
+        history = incremental.History(spark, str(tmp_path / "h"), range_rows=500)  # each time as another process would
         got |= {r.id: r.kept_id for r in history.merge(frame(part)).collect()}
-        if k == 1:
+        if k == 2:
             history.compact()
+            assert len(history.state["runs"]) == 1 and history.state["ranges"][0] > 1
     assert got == want
+    assert incremental.History(spark, str(tmp_path / "h")).state["merges"] == 3
     assert incremental.replay(df.limit(0)).count() == 0
 
 
+def test_a_batch_reads_its_own_key_ranges(spark, tmp_path):
+    rows = [(i, f"alpha{i} beta{i} gamma{i}", None) for i in range(600)]
+    frame = lambda rs: spark.createDataFrame(rs, "cand_id long, abstract string, vector array<double>")
+    history = incremental.History(spark, str(tmp_path / "h"), range_rows=10)
+    history.merge(frame(rows))
+    touched = incremental.key_rows(spark.createDataFrame([(1, [5, 6, 7], None)], "attr long, words array<bigint>, unit binary"), history.rank, 1)
+    files = lambda df: {r.f for r in df.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(files(history._read("keys", touched.select("key")))) <= 2 < len(files(history._read("keys")))
+
+
 def test_keys_of_similar_sets_meet():
     for _ in range(300):
         n = int(RNG.integers(3, 70))
