@@ -104,7 +104,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, abusive, hateful, explicit, score) of every document."""
-    return abuse.scores(table(spark, sf_dir, "documents"), keep=("source",))
+    return abuse.scores(table(spark, sf_dir, "documents"), keep=("source",), ratings=table(spark, sf_dir, "toxicity_labels"))
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id): documents whose score reaches the threshold."""
-    return abuse.scores(table(spark, sf_dir, "documents")).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+    return abuse.scores(table(spark, sf_dir, "documents"), ratings=table(spark, sf_dir, "toxicity_labels")).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
 
 
 def queries() -> dict:
