@@ -103,27 +103,39 @@ class Boundaries:
         return np.stack([np.concatenate([[0], ends[:-1] - self.overlap]), ends], 1)
 
     def legal(self, starts: np.ndarray, ends: np.ndarray) -> bool:
-        """Whether stored pieces, in order, are a path of legal successors from the text's start to its end."""
+        """Whether stored pieces, in order, are a path in the graph of legal successors from the text's start to its end.
+
+        The place before piece k leads to the place after it if the piece starts where it must and its end is a legal
+        successor of the previous end, at most the farthest one; else it leads nowhere. Squaring that table shows where
+        the start leads to."""
         s, e, n = np.asarray(starts, np.int64), np.asarray(ends, np.int64), self.n
-        if not len(s) or s[0] != 0 or e[-1] != n or (s[1:] != e[:-1] - self.overlap).any():
-            return False
-        if ((e - s < 1) | (e - s > self.limit) | (s < 0) | (e > n)).any():
+        k = len(s)
+        if not k or ((s < 0) | (e > n) | (e <= s)).any():
             return False
-        s, e = s[:-1], e[:-1]
+        before = np.concatenate([[self.overlap], e[:-1]])
+        farthest = np.minimum(before - self.overlap + self.limit, n)
         half = (s + e) // 2
-        return not (self.inside[e] & (self.spaces[e] > self.spaces[half])).any()
+        cuts_a_word = self.inside[e] & (self.spaces[e] > self.spaces[half]) & (np.arange(k) < k - 1)
+        nowhere = k + 1
+        succ = np.append(np.where((s == before - self.overlap) & (e <= farthest) & ~cuts_a_word, np.arange(1, k + 1), nowhere), [k, nowhere])
+        steps = 1
+        while steps < k:
+            succ = succ[succ]
+            steps *= 2
+        return bool(succ[0] == k and e[-1] == n)
 
 
 PIECES = T.StructType([T.StructField("id", T.StringType()), T.StructField("chunk_no", T.IntegerType()), T.StructField("start_index", T.LongType()), T.StructField("end_index", T.LongType()), T.StructField("text", T.StringType()), T.StructField("stored_valid", T.BooleanType())])
 
 
-def split_oversized(entries: DataFrame, stored: DataFrame | None = None, id_col: str = "id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_oversized(entries: DataFrame, stored: DataFrame | None = None, id_col: str = "id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, texts: bool = True) -> DataFrame:
     """The pieces (id, chunk_no, start_index, end_index, text, stored_valid) of each text longer than ``limit``.
 
     ``stored``: pieces (memory_id, chunk_no, start_index, end_index) of an earlier cut; ``stored_valid`` says whether
     the entry's stored pieces, taken by chunk_no, are a path of legal successors (false if there are none). Repeated
     rows of an entry or a piece count once; so does an id with copies of one text. A null position makes a stored cut
-    invalid; pieces of other ids are ignored. Columns other than the named ones are not read.
+    invalid; pieces of other ids are ignored. Columns other than the named ones are not read. ``texts``: whether the
+    pieces' texts are wanted, or nulls.
     """
     long = entries.where(F.length(text_col) > limit).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if stored is None:
@@ -141,6 +153,7 @@ def split_oversized(entries: DataFrame, stored: DataFrame | None = None, id_col:
                 whole = cut and all(p["start_index"] is not None and p["end_index"] is not None for p in cut)
                 valid = bool(whole) and bounds.legal([p["start_index"] for p in cut], [p["end_index"] for p in cut])
                 k = len(pieces)
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * k, pa.string()), pa.array(range(k), pa.int32()), pa.array(pieces[:, 0], pa.int64()), pa.array(pieces[:, 1], pa.int64()), pa.array([text[s:e] for s, e in pieces.tolist()], pa.string()), pa.array([valid] * k, pa.bool_())], names=PIECES.names)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * k, pa.string()), pa.array(range(k), pa.int32()), pa.array(pieces[:, 0], pa.int64()), pa.array(pieces[:, 1], pa.int64()), pa.array([text[s:e] for s, e in pieces.tolist()] if texts else [None] * k, pa.string()), pa.array([valid] * k, pa.bool_())], names=PIECES.names)
 
-    return joined.select("id", "text", "cut").mapInArrow(rows, PIECES).dropDuplicates(["id", "chunk_no"])
+    # repeated rows go before the texts are cut; the join has brought them together
+    return joined.select("id", "text", "cut").dropDuplicates(["id"]).mapInArrow(rows, PIECES)
