@@ -4,10 +4,12 @@
 2. ``seeds``: an item's seeds are chosen so that each of its windows of ``RUN`` words holds one: in each window of
    ``RUN - N + 1`` n-grams in a row, the rarest. Items shorter than that have their rarest n-gram, items shorter than
    ``N`` words are seeds as a whole. Passages that lie between seeds cannot be ``RUN`` words long.
-3. A second pass over the corpus looks the seeds up and emits (document, item) with the words of the passage around
-   the hits; the items, a fixed evaluation suite of checked size, are what is sent to the executors.
-4. ``smith_waterman`` aligns passage and item by words, so that edited copies get a score; ``longest_run`` is the exact
-   check for literal copies.
+3. ``short_seeds`` are the rarest n-grams of three words in each window of eight; two of them in a document make a
+   hit, so copies that are edited every few words are found too.
+4. A second pass over the corpus looks the seeds up and emits (document, item) with the words of the passage around
+   the hits; the items, in parts of bounded size, are what is sent to the executors.
+5. ``smith_waterman`` aligns passage and item by words, along diagonals as long as the item, so that edited copies get a
+   score; for alignments that are good enough to hold one, ``longest_run`` is the exact check of literal copies.
 
 Words are runs of letters and digits; case, accents, markup tags and invisible characters don't matter. Null and empty
 texts, and texts without words, leak nothing. Repeated rows and copies under other ids are each looked at. A document
@@ -26,16 +28,15 @@ from pyspark.sql import functions as F
 from loam.llm import words
 
 N, RUN = 5, 12
-#: The suite is held in each task; a larger one is a corpus of its own.
+#: words in the short seeds that find edited copies, words of a window that has one, and short seeds that make a hit
+SHORT, WITHIN, HITS = 3, 8, 2
+#: A part of the suite of so many words is held in each task; a larger suite is taken part by part.
 MOST_WORDS = 5_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
 def items_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> dict[int, list[str]]:
-    """item -> words. The evaluation suite reaches the driver; its size is checked."""
-    total = items.agg(F.sum(F.length(text_col))).first()[0] or 0
-    if total > 5 * MOST_WORDS:
-        raise ValueError("the evaluation suite is too large to be held in a task")
+    """item -> words. A suite, or a part of one, of bounded size reaches the driver."""
     return {r[0]: w for r in items.select(id_col, text_col).where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).collect() if (w := words.plain_words(r[1]))}
 
 
@@ -65,7 +66,7 @@ def hits(ws: list[str], lookup: dict[int, dict[str, set]]) -> list[tuple[int, tu
 
 def corpus_counts(documents: DataFrame, suite: dict[int, list[str]], text_col: str = "text") -> dict[tuple[str, ...], int]:
     """Documents of the whole corpus that hold each n-gram of the suite; at most as many numbers as the suite has words."""
-    lookup = _lookup({g for ws in suite.values() for g in grams(ws)})
+    lookup = _lookup({g for ws in suite.values() for n in (N, SHORT) for g in grams(ws, n)})
 
     def rows(batches):
         counts: Counter = Counter()
@@ -89,6 +90,18 @@ def seeds(suite: dict[int, list[str]], counts: dict[tuple[str, ...], int], run:
     return out
 
 
+def short_seeds(suite: dict[int, list[str]], counts: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], set[int]]:
+    """Seed of ``SHORT`` words -> the items it comes from: the rarest in each window of ``WITHIN`` words. A copy that is
+    edited every few words still holds some of them."""
+    out: dict[tuple[str, ...], set[int]] = defaultdict(set)
+    for item, ws in suite.items():
+        if len(ws) > WITHIN:
+            gs = grams(ws, SHORT)
+            for s in range(len(gs) - (WITHIN - SHORT)):
+                out[min(gs[s : s + WITHIN - SHORT + 1], key=lambda g: (counts.get(g, 0), g))].add(item)
+    return out
+
+
 def longest_run(a: list[str], b: list[str]) -> int:
     """Words of the longest passage that both texts hold."""
     best, ends = 0, {}
@@ -106,6 +119,8 @@ def longest_run(a: list[str], b: list[str]) -> int:
 
 def smith_waterman(a: list[str], b: list[str]) -> int:
     """Score of the best local alignment by words, by anti-diagonals."""
+    if len(a) > len(b):  # diagonals are as long as the shorter text
+        a, b = b, a
     code: dict[str, int] = {}
     x, y = (np.array([code.setdefault(w, len(code)) for w in t]) for t in (a, b))
     n, m = len(x), len(y)
@@ -139,12 +154,29 @@ def passages(places: list[int], n: int, reach: int) -> list[tuple[int, int]]:
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """(doc_id, item_id, run_words, item_words, score, share): what documents hold of items.
 
-    ``run_words``: the longest literal passage; ``score``: of the best alignment; ``share``: the score by that of the
+    ``run_words``: the longest literal passage, 0 where the alignment rules out one of ``run`` words; ``score``: of the best alignment; ``share``: the score by that of the
     whole item. A row is there for each document with a seed of the item.
     """
-    suite = items_of(items)
-    found = seeds(suite, corpus_counts(documents, suite, text_col), run)
-    lookup = _lookup(found)
+    slices = _slices(items)
+    texts = documents.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull())
+    out = None
+    for part in slices:
+        one = _leaks_of(texts, items_of(part), text_col, run)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _slices(items: DataFrame, most: int = 5 * MOST_WORDS) -> list[DataFrame]:
+    """The suite, or parts of it that a task can hold, by a hash of the item."""
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-total // most) or 1
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+
+
+def _leaks_of(texts: DataFrame, suite: dict[int, list[str]], text_col: str, run: int) -> DataFrame:
+    counts = corpus_counts(texts, suite, text_col)
+    found, short = seeds(suite, counts, run), short_seeds(suite, counts)
+    lookup = _lookup({*found, *short})
 
     def rows(batches):
         for batch in batches:
@@ -153,17 +185,23 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 if not lookup or not (at := hits(ws := words.plain_words(text), lookup)):
                     continue
                 by_item: dict[int, list[int]] = defaultdict(list)
+                few: dict[int, set] = defaultdict(set)
                 for p, key in at:
-                    for item in found[key]:
+                    for item in found.get(key, ()):
                         by_item[item].append(p)
+                    for item in short.get(key, ()):
+                        few[item].add((key, p))
+                for item, some in few.items():
+                    if item in by_item or len({k for k, _ in some}) >= HITS:
+                        by_item[item] += [p for _, p in some]
                 for item, places in by_item.items():
                     whole = suite[item]
                     parts = [ws[s:e] for s, e in passages(places, len(ws), len(whole) + N)]
                     score = max(smith_waterman(p, whole) for p in parts)
-                    for column, value in zip(out, (doc, item, max(longest_run(p, whole) for p in parts), len(whole), score, score / (MATCH * len(whole)))):
+                    literal = max(longest_run(p, whole) for p in parts) if score >= MATCH * min(run, len(whole)) else 0
+                    for column, value in zip(out, (doc, item, literal, len(whole), score, score / (MATCH * len(whole)))):
                         column.append(value)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "item_id", "run_words", "item_words", "score", "share"])
 
-    texts = documents.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull())
     return texts.mapInArrow(rows, "doc_id bigint, item_id bigint, run_words int, item_words int, score int, share double")

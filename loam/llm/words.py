@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 WORD = re.compile(r"[^\W_]+")
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.DOTALL)
+TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.DOTALL)
 
 
 def _unmarked(text: str) -> str:
