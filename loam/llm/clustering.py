@@ -24,12 +24,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm import runs, vectors
-from loam.scratch import written
+from loam.scratch import drop, written
 
 COSINE, RUN, DEGREE = 0.88, 2_000, 8
 TABLES = {0: 1, 1: 18, 2: 46, 3: 104}
 INFLATION, PRUNE, ROUNDS, STABLE = 2.0, 0.02, 12, 1e-3
 LAST = 200_000
+#: rows that flow to a node, above which it is a hub
+HUB = 10_000
 
 
 def run_keys(nodes: DataFrame) -> DataFrame:
@@ -124,10 +126,14 @@ def markov(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE,
     flow = first = written(stochastic(both.unionByName(loops)), "flow")
     before = None
     for _ in range(rounds):
-        left = flow.select("src", F.col("dst").alias("mid"), F.col("p").alias("p1"))
-        right = flow.select(F.col("src").alias("mid"), "dst", F.col("p").alias("p2"))
-        squared = left.join(right, "mid").groupBy("src", "dst").agg(F.sum(F.col("p1") * F.col("p2")).alias("p"))
-        flow = written(stochastic(squared.withColumn("p", F.pow("p", F.lit(inflation)))), "flow")
+        # a row has at most 1 / prune entries, but a hub has no bound on the rows that flow to it: these are salted
+        hubs = F.broadcast(flow.groupBy(F.col("dst").alias("mid")).count().where(F.col("count") > HUB).select("mid", F.ceil(F.col("count") / HUB).cast("int").alias("parts")))  # fewer than entries / HUB
+        left = flow.select("src", F.col("dst").alias("mid"), F.col("p").alias("p1")).join(hubs, "mid", "left").withColumn("salt", F.expr("cast(pmod(xxhash64(src), coalesce(parts, 1)) as int)")).drop("parts")
+        right = flow.select(F.col("src").alias("mid"), "dst", F.col("p").alias("p2")).join(hubs, "mid", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        squared = left.join(right, ["mid", "salt"]).groupBy("src", "dst").agg(F.sum(F.col("p1") * F.col("p2")).alias("p"))
+        last, flow = flow, written(stochastic(squared.withColumn("p", F.pow("p", F.lit(inflation)))), "flow")
+        if last is not first:
+            drop(last)
         # chaos: how far the rows are from one entry each
         now = flow.groupBy("src").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("c")).agg(F.max("c")).first()[0]
         if now is None or now < stable or (before is not None and abs(before - now) < 1e-9):
@@ -191,8 +197,12 @@ def clusters(rows: DataFrame, cosine: float = COSINE, run: int = RUN) -> DataFra
     # the exact check: Markov clusters that a link of the forest connects are one
     own = flow.select("node", "attractor")
     across = edges.where("tree").join(own.withColumnRenamed("node", "a").withColumnRenamed("attractor", "x"), "a").join(own.withColumnRenamed("node", "b").withColumnRenamed("attractor", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    merged = components(across).select(F.col("node").alias("attractor"), "root")
-    found = flow.join(merged, "attractor", "left").select("node", "attractor", F.coalesce("root", "attractor").alias("root"), "inflow")
+    across = written(across, "across")
+    if across.take(1):
+        merged = components(across).select(F.col("node").alias("attractor"), "root")
+        found = flow.join(merged, "attractor", "left").select("node", "attractor", F.coalesce("root", "attractor").alias("root"), "inflow")
+    else:  # the Markov clusters are the connected sets
+        found = flow.select("node", "attractor", F.col("attractor").alias("root"), "inflow")
     found = nodes.select("node", "grp", "u", "rep", "copies").join(found, "node", "left").where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "node"))
     found = written(found, "found")
     first = found.groupBy("root").agg(F.min("rep").alias("cluster"))
