@@ -6,8 +6,8 @@
 3. The total is divided into blocks; the highest quotients ``share / (2 s + 1)`` win them, one after the other, until
    a source has ``max_repeats`` times what it holds: integer quotas for the sources, and in the same way for each
    source's shards.
-4. In a shard every block is taken as often as the quota holds it in full; the rest goes to the blocks that come first
-   in a seeded order.
+4. A shard's quota is of equal-token blocks: every document is taken as often as the quota holds the shard in full; the
+   rest goes to the blocks that come first in a seeded order, document by document up to the quota's tokens.
 
 A source that reaches its cap stays below its target and the other sources take its place in the total; the report
 has both shares. Sources are compared without case and outer spaces. Documents without a source, or of one without a
@@ -113,17 +113,20 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     placed = written(placed, "placed")
     held = {(r[0], r[1]): (r[2], r[3]) for r in placed.groupBy("source", "shard").agg(F.countDistinct("block"), F.sum("n_tokens")).collect()}  # a row for each shard
     total = total_tokens if total_tokens is not None else sum(t for _, t in counts.values())
-    blocks = {k: sum(n for (s, _), (n, _) in held.items() if s == k) for k in goal}
-    quota = sainte_lague({k: s for k, (s, _) in goal.items()}, total // block, {k: blocks[k] * m for k, (_, m) in goal.items()})
+    tokens = {k: sum(t for (s, _), (_, t) in held.items() if s == k) for k in goal}
+    quota = sainte_lague({k: s for k, (s, _) in goal.items()}, total // block, {k: tokens[k] * m // block for k, (_, m) in goal.items()})
     rows = []
     for k, (_, most) in goal.items():
         own = {shard: v for (s, shard), v in held.items() if s == k}
-        for shard, n in sainte_lague({shard: float(t) for shard, (_, t) in own.items()}, quota[k], {shard: n * most for shard, (n, _) in own.items()}).items():
-            rows.append((k, shard, n // own[shard][0], n % own[shard][0]))
-    quotas = F.broadcast(spark.createDataFrame(rows, "source string, shard int, full int, rest int"))  # a row for each shard
-    rank = placed.select("source", "shard", "block").distinct().withColumn("r", F.row_number().over(W.partitionBy("source", "shard").orderBy(F.xxhash64("block", F.lit(seed + 2)), "block")))
-    taken = rank.join(quotas, ["source", "shard"]).withColumn("repeats", F.col("full") + (F.col("r") <= F.col("rest")).cast("int")).where("repeats > 0")
-    plan = placed.join(taken.select("source", "shard", "block", "repeats"), ["source", "shard", "block"]).select("doc_id", "source", "shard", "block", "n_tokens", "repeats")
+        for shard, n in sainte_lague({shard: float(t) for shard, (_, t) in own.items()}, quota[k], {shard: t * most // block for shard, (_, t) in own.items()}).items():
+            full, rest = divmod(n * block, own[shard][1])
+            rows.append((k, shard, full, rest))
+    quotas = F.broadcast(spark.createDataFrame(rows, "source string, shard int, full int, rest bigint"))  # a row for each shard
+    # blocks in a seeded order; documents are taken once more until the quota's rest of tokens is reached, so that a
+    # shard is off by half a document at most, whatever the sizes of its blocks
+    ranked = placed.join(quotas, ["source", "shard"]).withColumn("r", F.xxhash64("block", F.lit(seed + 2)))
+    upto = F.coalesce(F.sum("n_tokens").over(W.partitionBy("source", "shard").orderBy("r", "block", order, "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    plan = ranked.withColumn("repeats", F.col("full") + (upto + F.col("n_tokens") / 2 <= F.col("rest")).cast("int")).where("repeats > 0").select("doc_id", "source", "shard", "block", "n_tokens", "repeats")
     aims = spark.createDataFrame([(k, s, m) for k, (s, m) in goal.items()], "source string, target_share double, max_repeats int")
     have = placed.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     got = plan.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"))
