@@ -229,7 +229,7 @@ def candidates(rows: DataFrame, most: int = 4_096) -> DataFrame:
 
     rows: key rows with ``old``, null for the new ones. Runs of more than ``most`` rows are cut in blocks of which every
     two meet, so that no task holds a longer one."""
-    cut = runs.cut(rows.withColumn("key", F.struct("kind", "key")), "attr", most)
+    cut = runs.cut(rows, "attr", most)
 
     def run(batches):
         rest = None
@@ -266,7 +266,7 @@ def candidates(rows: DataFrame, most: int = 4_096) -> DataFrame:
         both = np.unique(np.stack([kind[i].astype(np.int64), attr[i], attr[j], old[j], fresh[j].astype(np.int64)], 1), axis=0) if len(i) else np.zeros((0, 5), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].astype(np.int32)), pa.array(both[:, 1]), pa.array(both[:, 2]), pa.array(both[:, 3], mask=both[:, 4] == 1)], names=["kind", "a", "b", "old"])
 
-    cut = cut.select("kind", F.col("key.key").alias("k"), "pair", "size", "attr", "low", "high", "old")
+    cut = cut.select("kind", F.col("key").alias("k"), "pair", "size", "attr", "low", "high", "old")
     near = cut.repartition("k", "pair").sortWithinPartitions("kind", "k", "pair", "size").mapInArrow(run, "kind int, a bigint, b bigint, old bigint")
     return near.groupBy("kind", "a", "b").agg(F.min("old").alias("old"))
 

@@ -59,8 +59,28 @@ def test_stored_cuts(spark):
 
 
 def test_tagger_held_out():
-    got = pii_train.accuracy(Tagger.load(pii_train.WEIGHTS), 600, seed=4242)
-    assert all(p > 0.9 and r > 0.9 for p, r in got.values()), got
+    tagger = Tagger.load(pii_train.WEIGHTS)
+    got = pii_train.accuracy(tagger, 600, seed=4242, held=False)
+    assert all(p > 0.85 and r > 0.85 for p, r in got.values()), got
+    # openings, endings and look-alikes that training never saw, before the exact check
+    got = pii_train.accuracy(tagger, 600, seed=4242, held=True)
+    assert all(p > 0.6 and r > 0.6 for p, r in got.values()), got
+
+
+def test_ordinary_sentences():
+    want = {"Write to John Miller now.": "John Miller", "The patient is Maria Gonzalez.": "Maria Gonzalez", "Remember Anna Schmidt when you plan.": "Anna Schmidt", "Ich habe Petra Neumann gesehen.": "Petra Neumann", "J'ai vu Claire Dubois hier.": "Claire Dubois", "SSN 123-45-6789 was leaked.": "SSN 123-45-6789", "请联系张伟。": "张伟", "Email bob@example.com": "bob@example.com"}
+    got = {t: [t[s:e] for s, e, _ in f] for t, f in zip(want, pii.find_all(list(want)))}
+    assert got == {t: [w] for t, w in want.items()}
+
+
+def test_nothing_found_is_left(spark):
+    """Items are replaced in the raw text, whatever its escapes."""
+    cut = '{"a": "Kontakt: Jürgen Müller\\nMail: j.mueller@example.org", "b": "Tel +49 30 1234567 or \\u004daria Gonzalez", "c": "cut'
+    held = json.dumps({"x": json.dumps({"y": "Write to John Miller now.\n\"jo@example.org\""})})
+    out = pii.redacted(spark.createDataFrame([("1", cut), ("2", held)], "id string, m string"), "id", ["m"], {"m"}).collect()
+    for r in out:
+        assert not any(x in r.m for x in ("Müller", "j.mueller", "1234567", "Gonzalez", "Miller", "jo@"))
+    assert json.loads(json.loads(out[1].m)["x"])["y"] == 'Write to [NAME] now.\n"[EMAIL]"'
 
 
 def test_tagger_gradients():
@@ -82,7 +102,7 @@ def test_tagger_gradients():
 
 def test_items_and_placeholders(spark):
     meta = json.dumps({"a": {"note": "Ring +44 20 7946 0123 or leave a note."}, "n": 1700000000000, "raw": json.dumps({"m": "Use jo.smith@example.org; the other account is closed."})})
-    rows = [("1", "My manager Nora Kelibark reads these notes. Parcels go to 12 Orchard Lane, Welton.", meta), ("2", None, None), ("3", "", ""), ("4", "Contact [EMAIL] was redacted. Project Lantern Harvest ships soon.", '{"cut": "Tel 020 7946 0999 works best. And th'), ("5", "word " * 4000 + "The scan shows SSN 912-34-5678 at the top.", "not json"), ("1", "My manager Nora Kelibark reads these notes. Parcels go to 12 Orchard Lane, Welton.", meta), (None, "x", "y")]
+    rows = [("1", "My manager Nora Kelibark reads these notes. Parcels go to 12 Orchard Lane, Welton.", meta), ("2", None, None), ("3", "", ""), ("4", "Contact [EMAIL] was redacted. Project Lantern Harvest ships soon.", '{"cut": "My number is 020 7946 0999, call tonight. And th'), ("5", "word " * 4000 + "The scan shows SSN 912-34-5678 at the top.", "not json"), ("1", "My manager Nora Kelibark reads these notes. Parcels go to 12 Orchard Lane, Welton.", meta), (None, "x", "y")]
     df = spark.createDataFrame(rows, "id string, text string, metadata string").withColumn("kind", F.lit(1))
     got = {(r.id, r.field, r.kind) for r in pii.items(df, "id", ["text", "metadata"], {"metadata"}).collect()}
     assert got == {("1", "text", "name"), ("1", "text", "address"), ("1", "metadata", "phone"), ("1", "metadata", "email"), ("4", "metadata", "phone"), ("5", "text", "id_number")}
@@ -140,7 +160,9 @@ def test_quantiser_prefers_parallel_accuracy():
 
     def along(eta):
         q = neighbours.Quantiser.train(x, eta=eta, rounds=4)
-        r = x - q.decode(q.pack(q.encode(x)))
+        codes = q.encode(x)
+        r = x - np.concatenate([q.tables[m][codes[:, m]] for m in range(codes.shape[1])], 1)
+        assert np.allclose(q.scores(x[:5], q.pack(codes)), x[:5] @ (x - r).T, atol=1e-4)  # looked up in packed bytes
         return float(np.abs((r * x).sum(1)).mean())
 
     assert along(4.0) < along(1.0)
@@ -336,3 +358,19 @@ def test_scores(spark):
     rates = {r.source: r for r in abuse.source_rates(abuse.scores(df, keep=("source",))).collect()}
     assert set(rates) == {"s", "unknown"} and sum(r.n_found for r in rates.values()) == len(bad)
     assert abuse.scores(df.limit(0)).count() == 0
+
+
+def test_words_must_stand_together():
+    of = abuse.finder({})
+    p = lambda t: 1 - np.prod([1 - abuse.CUES[abuse.NAMES[k]][1] * v for s in abuse.sentences(t) for k, v in of(s)])
+    for t in ["Kill the worker process before you restart the queue.", "Could you back up the disk before you shut it down?", "If you hunt the bug down, tell me.", "I hope you read this before batteries die."]:
+        assert p(t) < abuse.THRESHOLD, t
+    for t in ["You are an idiot and I will report you to the whole class.", "You are a disgusting piece of trash.", "talk again and I will kill you", "she stripped naked and begged for dirty sex on camera Open question: weekly retry policy"]:
+        assert p(t) >= abuse.THRESHOLD, t
+
+
+def test_ratings_move_the_cues(spark):
+    docs = spark.createDataFrame([(i, "You are an idiot." if i < 300 else "The meeting was moved.") for i in range(600)], "doc_id long, text string")
+    rate = lambda f: abuse.fitted(docs, spark.createDataFrame([(i, f(i)) for i in range(600)] + [(None, 1), (9999, 1), (3, None)], "doc_id long, toxic int"), {})["insult_you"]
+    assert rate(lambda i: int(i < 300)) > 0.95 > 0.4 > rate(lambda i: int(i < 20))
+    assert abuse.fitted(docs, spark.createDataFrame([], "doc_id long, toxic int"), {})["insult_you"] == abuse.CUES["insult_you"][1]
