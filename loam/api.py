@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from loam.operators import governance, lifecycle, memory, search, writes
+from loam.operators import governance, lifecycle, memory, retrieval, search, writes
 
 
 @dataclass
@@ -19,16 +19,34 @@ class Engine:
     def rows(self, scopes: list[str] | None = None) -> DataFrame:
         return memory.normalised(self.memories.where(memory.in_scopes(scopes)), self.as_of_ms)
 
-    def recall(self, queries: DataFrame, scopes: list[str] | None = None, limit: int = 3, profile: str = "simple", active: bool = True) -> DataFrame:
-        """(query_id, id, rank, score): statistics are those of all memories, hits those of the scopes."""
-        hits = search.lexical_search(self.memories, queries, 20)
-        rows = self.rows(scopes)
-        rows = rows.where(memory.active_at(self.as_of_ms)) if active else rows
-        hits = hits.join(rows.select("id"), "id", "left_semi")
+    def recall(self, queries: DataFrame, scopes: list[str] | None = None, limit: int = 3, profile: str = "simple", active: bool = True, vectors: DataFrame | None = None) -> DataFrame:
+        """(query_id, id, rank, score): statistics are those of all memories; scopes and activity are tested before the best
+        ones are taken. With ``vectors`` (id, vec) and a column ``vec`` of the queries recall is hybrid."""
+        rows = self.rows(None)
+        allowed = retrieval.allowed_ids(rows, scopes, self.as_of_ms if active else None)
+        if vectors is not None:
+            return retrieval.recall(self.memories, vectors, queries, rows, self.as_of_ms, limit, allowed)
+        hits = retrieval.bm25_arm(self.memories, queries, limit, allowed)
         if profile == "simple":
             return search.simple_chain(hits, rows, self.as_of_ms, limit)
         return search.lifecycle_chain(hits, lifecycle.decay(rows, self.as_of_ms), self.as_of_ms, limit)
 
+    def trace(self, queries: DataFrame, scopes: list[str] | None = None, limit: int = 3) -> DataFrame:
+        """(query_id, stage, n, low, high) of a recall's stages."""
+        hits = retrieval.bm25_arm(self.memories, queries, limit, retrieval.allowed_ids(self.rows(None), scopes, self.as_of_ms))
+        return search.trace([("search", hits, "score"), ("final", search.simple_chain(hits, self.rows(None), self.as_of_ms, limit), "score")])
+
+    def promote(self, ids: DataFrame) -> DataFrame:
+        """(id, metadata) of the ids as durable memories."""
+        return writes.patched(self.rows(None), writes.patches_of(ids, writes.promotion(self.as_of_ms)), self.as_of_ms)
+
+    def archive(self, ids: DataFrame) -> DataFrame:
+        return writes.patched(self.rows(None), writes.patches_of(ids, writes.archival(self.as_of_ms)), self.as_of_ms)
+
+    def change(self, changes: DataFrame) -> DataFrame:
+        """The memories after manual changes (id, text, new_id)."""
+        return writes.updated(self.memories, changes, self.as_of_ms)
+
     def context(self, queries: DataFrame, scopes: list[str] | None = None, **budget) -> DataFrame:
         return search.packed(self.recall(queries, scopes, limit=10), self.memories, **budget)
 

@@ -25,7 +25,7 @@ INSTRUCTION = ["^(?:去|帮我|你去|现在|继续|再|直接).{0,80}(?:检查|
 DIAGNOSTIC = [r"(?i)\bquery\s*->\s*(none|no explicit solution|unknown|not found)\b", r"(?i)\buser asked for\b.*\b(none|no explicit solution|unknown|not found)\b", r"(?i)\bno explicit solution\b"]
 TRIVIAL = r"(?i)^(?:ok|okay|kk|k|yes|no|yep|nope|sure|thanks|thank you|thx|ty|got it|roger|understood|noted|acknowledged|done|hi|hello|hey|yo|早|早安|你好|嗨|在吗|在嗎|谢谢|謝謝|收到|明白|明白了|了解|了解了|好的|好)(?:[!！,.。?？~\s]*)\z"
 FORCE = [r"(?i)\b(remember|recall|forgot|memory|memories)\b", r"(?i)\b(last time|before|previously|earlier|yesterday|ago)\b", r"(?i)\b(my (name|email|phone|address|birthday|preference))\b", r"(?i)\b(what did (i|we)|did i (tell|say|mention))\b", "(你记得|[你妳]記得|之前|上次|以前|还记得|還記得|提到过|提到過|说过|說過)"]
-SKIP = [r"(?i)^(hi|hello|hey|good\s*(morning|afternoon|evening|night)|greetings|yo|sup|howdy|what'?s up)\b", "^/", r"(?i)^(run|build|test|ls|cd|git|npm|pip|docker|curl|cat|grep|find|make|sudo)\b", r"(?i)^(yes|no|yep|nope|ok|okay|sure|fine|thanks|thank you|thx|ty|got it|understood|cool|nice|great|good|perfect|awesome|👍|👎|✅|❌)\s*[.!]?\z", r"(?i)^(go ahead|continue|proceed|do it|start|begin|next|实施|實施|开始|開始|继续|繼續|好的|可以|行)\s*[.!]?\z", r"(?i)HEARTBEAT", r"(?i)^\[System", r"(?i)^(ping|pong|test|debug)\s*[.!?]?\z"]
+SKIP = [r"(?i)^(hi|hello|hey|good\s*(morning|afternoon|evening|night)|greetings|yo|sup|howdy|what'?s up)\b", "^/", r"(?i)^(run|build|test|ls|cd|git|npm|pip|docker|curl|cat|grep|find|make|sudo)\b", r"(?i)^(yes|no|yep|nope|ok|okay|sure|fine|thanks|thank you|thx|ty|got it|understood|cool|nice|great|good|perfect|awesome|👍|👎|✅|❌)\s*[.!]?\z", r"(?i)^(go ahead|continue|proceed|do it|start|begin|next|实施|實施|开始|開始|继续|繼續|好的|可以|行)\s*[.!]?\z", r"^[0-9#*©®‼⁉™ℹ←-⇿⌀-⏿Ⓜ▪-◾☀-➿⤴⤵⬀-⭕〰〽㊗㊙\x{1F000}-\x{1FAFF}\s]+\z", r"(?i)HEARTBEAT", r"(?i)^\[System", r"(?i)^(ping|pong|test|debug)\s*[.!?]?\z"]
 CATEGORY = {
     "preference": [r"(?i)prefer|radši|like|love|hate|want|偏好|喜歡|喜欢|討厭|讨厌|不喜歡|不喜欢|愛用|爱用|習慣|习惯"],
     "decision": [r"(?i)rozhodli|decided|we decided|will use|we will use|we'?ll use|switch(ed)? to|migrate(d)? to|going forward|from now on|budeme|決定|决定|選擇了|选择了|改用|換成|换成|以後用|以后用|規則|流程|SOP"],
@@ -66,8 +66,10 @@ NEEDS = {
     "secret": [("-----",), (":",), ("://",), (":", "="), (":", "="), (":", "="), (":", "=", "：", "是", "为"), (":", "=", "：", "是", "为"), (":", "=", "：", "是", "为"), ("sk-",), ("gh", "github_pat_"), ("xox",), ("AIza",), ("AKIA",), ("eyJ",)],
 }
 PLACEHOLDER = r"(?i)\$\{|\.\.\.|example|placeholder|dummy|redacted|test-key|your-key|changeme|\*\*\*\*"
-REDACT = [r"Bearer\s+[A-Za-z0-9\-._~+/]+=*", r"\bsk-[A-Za-z0-9]{20,}\b", r"\bsk-proj-[A-Za-z0-9\-_]{20,}\b", r"\bghp_[A-Za-z0-9]{36,}\b", r"\bgithub_pat_[A-Za-z0-9_]{22,}\b", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", r"\bAIza[0-9A-Za-z_-]{20,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"(?i)\b(?:token|api[_-]?key|secret|password)\s*[:=]\s*[\"']?[^\s\"',;)}\]]{6,}[\"']?\b", r"(?<=://)[^@\s]+:[^@\s]+(?=@)", r"/home/[^\s\"',;)}\]]+", r"/Users/[^\s\"',;)}\]]+", r"[A-Z]:\\[^\s\"',;)}\]]+", r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"]
-ERROR_SIGNAL = [r"\[error\]|error:|exception:|fatal:|traceback|syntaxerror|typeerror|referenceerror|npm err!", "command not found|no such file|permission denied|non-zero|exit code", "\"status\"\\s*:\\s*\"error\"|\"status\"\\s*:\\s*\"failed\"", r"错误\s*[：:]|异常\s*[：:]|报错\s*[：:]|失败\s*[：:]"]
+#: Of these the credentialed URL looks at what stands before it, and the e-mail begins where no address goes on: both find
+#: what the plain patterns find, without trying every place of a long text.
+REDACT = [r"Bearer\s+[A-Za-z0-9\-._~+/]+=*", r"\bsk-[A-Za-z0-9]{20,}\b", r"\bsk-proj-[A-Za-z0-9\-_]{20,}\b", r"\bsk-ant-[A-Za-z0-9\-_]{20,}\b", r"\bghp_[A-Za-z0-9]{36,}\b", r"\bgho_[A-Za-z0-9]{36,}\b", r"\bghu_[A-Za-z0-9]{36,}\b", r"\bghs_[A-Za-z0-9]{36,}\b", r"\bgithub_pat_[A-Za-z0-9_]{22,}\b", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", r"\bAIza[0-9A-Za-z_-]{20,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"\bnpm_[A-Za-z0-9]{36,}\b", r"(?i)\b(?:token|api[_-]?key|secret|password)\s*[:=]\s*[\"']?[^\s\"',;)}\]]{6,}[\"']?\b", r"-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----[\s\S]*?-----END\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----", r"(?<=://)[^@\s]+:[^@\s]+(?=@)", r"/home/[^\s\"',;)}\]]+", r"/Users/[^\s\"',;)}\]]+", r"[A-Z]:\\[^\s\"',;)}\]]+", r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"]
+ERROR_SIGNAL = [r"\[error\]|error:|exception:|fatal:|traceback|syntaxerror|typeerror|referenceerror|npm err!", "command not found|no such file|permission denied|non-zero|exit code", "\"status\"\\s*:\\s*\"error\"|\"status\"\\s*:\\s*\"failed\"|\\biserror\\b", r"错误\s*[：:]|异常\s*[：:]|报错\s*[：:]|失败\s*[：:]"]
 
 
 def _clean(c: Column) -> Column:
@@ -103,9 +105,20 @@ def capture_verdict(c: Column) -> Column:
     return out.when(secret_kind(c).isNotNull(), "secret").otherwise("allowed")
 
 
+#: What hosts put before a prompt.
+PROMPT_HEADS = [r"(?im)^(Conversation info|Sender) \(untrusted metadata\):[\s\S]*?\n\s*\n", r"(?i)^\s*\[cron:[^\]]+\]\s*", r"^\s*\[[A-Za-z]{3}\s\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}\s[^\]]+\]\s*"]
+
+
+def prompt_text(c: Column) -> Column:
+    """A prompt without the headers that a host puts before it."""
+    for p in PROMPT_HEADS:
+        c = F.regexp_replace(c, p, "")
+    return T.trim(c)
+
+
 def should_skip(c: Column) -> Column:
     """Whether a prompt needs no retrieval."""
-    s = _clean(c)
+    s = prompt_text(_clean(c))
     short = T.utf16_len(s) < F.when(s.rlike(T.CJK), 6).otherwise(15)
     asks = s.contains("?") | s.contains("？")
     return F.when(T.any_of(s, FORCE), False).when(T.utf16_len(s) < 5, True).when(T.any_of(s, SKIP), True).otherwise(short & ~asks)

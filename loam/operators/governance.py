@@ -30,20 +30,51 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((x == 0) | (y == 0), 0.0).otherwise(F.greatest(shared / x, shared / y, shared / (x + y - shared)))
 
 
-def conflicts(df: DataFrame) -> DataFrame:
-    """(id_a, id_b): claims of one scope and category about one subject with opposite polarity and like values.
+#: Fixed value: a claim about a deployment or its command, from the first word on.
+DEPLOY = r"(?i)^[^A-Za-z0-9_]*(.+?\bdeploy(?:ment)?(?:\s+command)?)\s+(is\s+not|does\s+not\s+use|do\s+not\s+use|doesn't\s+use|don't\s+use|no\s+longer\s+uses?|uses?|is|=)\s+([^.!?。！？]+)\s*[.!?。！？]?"
 
-    Pairs meet on a token of their subjects, so groups are never expanded in full; each pair is compared once."""
+
+def claims(df: DataFrame) -> DataFrame:
+    """(id, scope, category, at, subject, predicate, value, negated) of rows that state a claim: token sets and polarity."""
     s = claim_text(F.col("text"))
-    c = df.select("id", F.coalesce("scope", F.lit("global")).alias("scope"), "category", claim_tokens(F.regexp_extract(s, CLAIM, 1)).alias("subject"), claim_tokens(F.regexp_replace(F.regexp_extract(s, CLAIM, 3), r"(?i)^(?:not|never|no\s+longer)\s+", "")).alias("value"), s.rlike(T.bounded(NEGATION)).alias("negated")).where(F.size("subject") > 0)
-    keyed = c.withColumn("token", F.explode("subject"))
-    no = keyed.where("negated").select("scope", "category", "token", *[F.col(x).alias(f"n_{x}") for x in ("id", "subject", "value")])
-    yes = keyed.where("not negated").select("scope", "category", "token", *[F.col(x).alias(f"y_{x}") for x in ("id", "subject", "value")])
-    pairs = no.join(yes, ["scope", "category", "token"])
-    pairs = pairs.where((similarity(F.col("n_subject"), F.col("y_subject")) >= 0.45) & (similarity(F.col("n_value"), F.col("y_value")) >= 0.75))
+    deploys = s.contains("deploy") & s.rlike(T.bounded(DEPLOY))
+    part = lambda k: F.when(deploys, F.regexp_extract(s, T.bounded(DEPLOY), k)).otherwise(F.regexp_extract(s, CLAIM, k))
+    value = F.regexp_replace(claim_text(part(3)), r"(?i)^(?:not|never|no\s+longer)\s+", "")
+    predicate = T.one_line(F.regexp_replace(part(2), r"(?i)\b(?:not|no longer|doesn't|don't|does|do)\b", ""))
+    x = df.select("id", F.coalesce("scope", F.lit("global")).alias("scope"), "category", F.coalesce("timestamp_ms", F.lit(0)).alias("at") if "timestamp_ms" in df.columns else F.lit(0).alias("at"), claim_tokens(part(1)).alias("subject"), F.regexp_replace(predicate, "s$", "").alias("predicate"), claim_tokens(value).alias("value"), s.rlike(T.bounded(NEGATION)).alias("negated"))
+    return x.where((F.size("subject") > 0) & (F.size("value") > 0))
+
+
+def conflicts(df: DataFrame, newest: int | None = None) -> DataFrame:
+    """(id_a, id_b): claims of one scope and category about one subject with opposite polarity, like predicates and values.
+
+    Values of like claims share three quarters of the tokens of one, so pairs meet on a token of the value and of the
+    subject together; equal claims are compared once, for all rows that state them. ``newest``: only so many rows of a
+    scope and category are looked at, the newest ones."""
+    c = claims(df)
+    if newest is not None:
+        c = c.withColumn("r", F.row_number().over(W.partitionBy("scope", "category").orderBy(F.desc("at"), "id"))).where(F.col("r") <= newest).drop("r")
+    what = ["scope", "category", "subject", "predicate", "value", "negated"]
+    c = c.withColumn("claim", F.xxhash64(*what))
+    each = c.groupBy("claim").agg(*[F.first(x).alias(x) for x in what]).withColumn("s", F.explode("subject")).withColumn("v", F.explode("value"))
+    no = each.where("negated").select("scope", "category", "s", "v", *[F.col(x).alias(f"n_{x}") for x in ("claim", "subject", "predicate", "value")])
+    yes = each.where("not negated").select("scope", "category", "s", "v", *[F.col(x).alias(f"y_{x}") for x in ("claim", "subject", "predicate", "value")])
+    pairs = no.join(yes, (no.scope == yes.scope) & no.category.eqNullSafe(yes.category) & (no.s == yes.s) & (no.v == yes.v))
+    like = lambda x, least: similarity(F.col(f"n_{x}"), F.col(f"y_{x}")) >= least
+    words = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    same = (F.col("n_predicate") == F.col("y_predicate")) | (similarity(words(F.col("n_predicate")), words(F.col("y_predicate"))) >= 0.35)
+    pairs = pairs.where(like("subject", 0.45) & like("value", 0.75) & same).select("n_claim", "y_claim").distinct()
+    rows = c.select("id", "claim")
+    pairs = pairs.join(rows.select(F.col("claim").alias("n_claim"), F.col("id").alias("n_id")), "n_claim").join(rows.select(F.col("claim").alias("y_claim"), F.col("id").alias("y_id")), "y_claim")
     return pairs.select(F.least("n_id", "y_id").alias("id_a"), F.greatest("n_id", "y_id").alias("id_b")).distinct()
 
 
+def marked(pairs: DataFrame) -> DataFrame:
+    """(id, conflict_ids, conflict_count) in both directions, sorted and distinct."""
+    both = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other")))
+    return both.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("conflict_ids")).withColumn("conflict_count", F.size("conflict_ids"))
+
+
 def reasons() -> Column:
     """Reasons for a review of a normalised row."""
     inactive = F.col("lifecycle").isin("superseded", "obsolete", "rejected")
@@ -59,12 +90,17 @@ def reasons() -> Column:
     return F.array_compact(F.array(*[F.when(t, v) for t, v in tests]))
 
 
-def review_candidates(df: DataFrame) -> DataFrame:
-    """(id, reasons, action, confidence) of the rows with a reason."""
-    x = df.withColumn("reasons", reasons()).where(F.size("reasons") > 0)
+def review_candidates(df: DataFrame, pairs: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(id, reasons, action, confidence, text) of the rows with a reason; ``pairs``: conflicts. Conflicts come first, then the
+    least sure ones; ``limit`` rows at most."""
+    x = df.withColumn("reasons", reasons())
+    if pairs is not None:
+        x = x.join(marked(pairs).select("id", F.lit("conflict_review").alias("c")), "id", "left").withColumn("reasons", F.when(F.col("c").isNotNull(), F.concat(F.array("c"), "reasons")).otherwise(F.col("reasons")))
+    x = x.where(F.size("reasons") > 0)
     archive = F.exists("reasons", lambda r: r.startswith("inactive_lifecycle") | (r == "archive_review"))
-    action = F.when(archive, "archive").when(F.array_contains("reasons", "low_confidence"), "promote").otherwise("review")
-    return x.select("id", "scope", "category", "reasons", action.alias("action"), "confidence")
+    action = F.when(F.array_contains("reasons", "conflict_review"), "review").when(archive, "archive").when(F.array_contains("reasons", "low_confidence"), "promote").otherwise("review")
+    x = x.select("id", "scope", "category", "reasons", action.alias("action"), "confidence", F.substring(T.one_line(F.coalesce("text", F.lit(""))), 1, 220).alias("text"))
+    return x if limit is None else x.orderBy(F.desc(F.array_contains("reasons", "conflict_review")), "confidence", "id").limit(min(200, limit))
 
 
 def support(slices: DataFrame, most: int = 8) -> DataFrame:

@@ -112,9 +112,19 @@ def scope_type(c: Column) -> Column:
 
 
 def search_text(df: DataFrame) -> Column:
-    """The non-blank metadata texts, one a line."""
-    parts = F.array(*[F.try_variant_get("extra", f"$.{k}", "string") for k in ("l0_abstract", "l1_overview", "l2_content", "memory_category", "tier")])
-    return F.concat_ws("\n", F.filter(parts, lambda x: T.trim(x) != ""))
+    """The non-blank metadata texts, one a line; metadata that is no object is its own search text."""
+    return _joined(("l0_abstract", "l1_overview", "l2_content", "keywords", "entities", "tags", "category", "tier"))
+
+
+def hygiene_text(df: DataFrame) -> Column:
+    """The search text of the hygiene migration, which has the state and the layer too."""
+    return _joined(("l0_abstract", "l1_overview", "l2_content", "keywords", "entities", "tags", "category", "memory_category", "tier", "state", "memory_layer"))
+
+
+def _joined(keys: tuple[str, ...]) -> Column:
+    one = lambda k: F.coalesce(F.try_variant_get("extra", f"$.{k}", "array<string>"), F.array(F.try_variant_get("extra", f"$.{k}", "string")))
+    texts = F.filter(F.flatten(F.array(*[one(k) for k in keys])), lambda x: T.trim(F.coalesce(x, F.lit(""))) != "")
+    return F.when(F.col("extra").isNull(), F.coalesce("metadata", F.lit(""))).otherwise(F.array_join(texts, "\n"))
 
 
 def fact_key(category: Column, abstract: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import scores as S
 from loam.functions import text as T
+from loam.operators import gates
 
 K1, B = 1.2, 0.75
 #: Queries of one call are held in each task; more are searched in several calls.
@@ -22,16 +23,23 @@ MOST_QUERIES = 10_000
 
 
 def _haystack(memories: DataFrame) -> Column:
-    return F.lower(F.coalesce("text", F.lit("")))
+    """Text and, where the table has it, the metadata's search text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.lower(F.concat_ws("\n", text, F.nullif(F.col("metadata_text"), F.lit(""))) if "metadata_text" in memories.columns else text)
 
 
-def lexical(memories: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def _allowed(scored: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """Only ids of ``allowed`` (id), before any best ones are taken; statistics are those of all memories."""
+    return scored if allowed is None else scored.join(allowed.select("id").distinct(), "id", "left_semi")
+
+
+def lexical(memories: DataFrame, queries: DataFrame, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score): 0.68 x share of the query's tokens + 0.35 if the text contains the query, at most 1."""
     q = queries.select("query_id", F.lower(T.trim(F.col("query"))).alias("query"), T.query_tokens(F.col("query")).alias("q_tokens"))
     q = q.withColumn("n", F.size("q_tokens")).where("n > 0")
     hay = memories.select("id", "timestamp_ms", _haystack(memories).alias("hay"))
     postings = hay.select("id", F.explode(T.text_tokens(F.col("hay"))).alias("token"))
-    hits = postings.join(q.select("query_id", F.explode("q_tokens").alias("token")), "token").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
+    hits = _allowed(postings.join(q.select("query_id", F.explode("q_tokens").alias("token")), "token").groupBy("query_id", "id").agg(F.count("*").alias("overlap")), allowed)
     scored = hits.join(q, "query_id").join(hay, "id")
     scored = scored.select("query_id", "id", "timestamp_ms", F.least(F.lit(1.0), F.col("overlap") / F.col("n") * 0.68 + F.when(F.col("hay").contains(F.col("query")), 0.35).otherwise(0.0)).alias("score"))
     return top(scored, limit)
@@ -43,7 +51,7 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def bm25(memories: DataFrame, queries: DataFrame, pool: int = 80) -> DataFrame:
+def bm25(memories: DataFrame, queries: DataFrame, pool: int = 80, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, timestamp_ms, raw, bm25): the pool's raw scores, and these normalised to 0..1 within it."""
     words = F.regexp_extract_all(_haystack(memories), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     docs = memories.select("id", "timestamp_ms", words.alias("words")).withColumn("len", F.size("words"))
@@ -55,16 +63,16 @@ def bm25(memories: DataFrame, queries: DataFrame, pool: int = 80) -> DataFrame:
     weighted = tf.join(df, "term").join(F.broadcast(totals))  # one row
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + (F.col("len") / F.col("avg_len") * B + (1 - B)) * K1)
     raw = weighted.withColumn("part", part).join(q, "term").groupBy("query_id", "id", "timestamp_ms").agg(F.round(F.sum("part"), 9).alias("score"))
-    best = top(raw, pool).withColumnRenamed("score", "raw")
+    best = top(_allowed(raw, allowed), pool).withColumnRenamed("score", "raw")
     span = W.partitionBy("query_id")
     low, high = F.min("raw").over(span), F.max("raw").over(span)
     return best.select("query_id", "id", "timestamp_ms", "raw", F.when(high == low, 1.0).otherwise((F.col("raw") - low) / (high - low)).alias("bm25"))
 
 
-def lexical_search(memories: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def lexical_search(memories: DataFrame, queries: DataFrame, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
     """The larger of the lexical score and 0.96 x the normalised BM25 score."""
-    pool = bm25(memories, queries, min(4 * limit, 120))
-    lex = lexical(memories, queries, 10 * limit).select("query_id", "id", F.col("score").alias("lex"))
+    pool = bm25(memories, queries, min(4 * limit, 120), allowed)
+    lex = lexical(memories, queries, 10 * limit, allowed).select("query_id", "id", F.col("score").alias("lex"))
     both = pool.join(lex, ["query_id", "id"], "left")
     scored = both.select("query_id", "id", "timestamp_ms", F.greatest(F.coalesce("lex", F.lit(0.0)), F.col("bm25") * 0.96).alias("score")).where("score > 0")
     return top(scored, limit)
@@ -115,25 +123,32 @@ def fused(vector: DataFrame, lexical_hits: DataFrame) -> DataFrame:
     return both.withColumn("score", S.fuse(F.col("v_score"), F.col("b_score")))
 
 
-def simple_chain(hits: DataFrame, memories: DataFrame, as_of_ms: int, limit: int = 10, hard_min: float = 0.35) -> DataFrame:
-    """Recency boost, importance weight, length norm, hard cutoff, time decay; each stage's score is kept."""
-    m = memories.select("id", "importance", "timestamp_ms", T.utf16_len(F.coalesce("text", F.lit(""))).alias("len"))
+def _ranked(x: DataFrame, limit: int) -> DataFrame:
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "ord")
+    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def simple_chain(hits: DataFrame, rows: DataFrame, as_of_ms: int, limit: int = 10, hard_min: float = 0.35) -> DataFrame:
+    """Recency boost, importance weight, length norm, hard cutoff, time decay by the effective half-life, noise filter;
+    each stage's score is kept. ``rows`` are normalised memories."""
+    count = F.col("access_count")
+    days = F.greatest(F.lit(0.0), (F.lit(as_of_ms) - F.col("last_accessed_at")) / F.lit(S.DAY))
+    text = F.coalesce("text", F.lit(""))
+    m = rows.select("id", "importance", "timestamp_ms", T.utf16_len(text).alias("len"), S.effective_half_life(60.0, count, days).alias("half_life"), "text")
     x = hits.select("query_id", "id", F.col("score").alias("s0"), F.col("rank").alias("ord")).join(m, "id")
     x = x.withColumn("s1", S.recency_boost(F.col("s0"), F.col("timestamp_ms"), as_of_ms))
     x = x.withColumn("s2", S.importance_weight(F.col("s1"), F.col("importance")))
     x = x.withColumn("s3", S.length_norm(F.col("s2"), F.col("len"))).where(F.col("s3") >= hard_min)
-    x = x.withColumn("score", F.round(S.time_decay(F.col("s3"), S.age_days(F.col("timestamp_ms"), as_of_ms), F.lit(60.0)), 9))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    x = x.withColumn("score", F.round(S.time_decay(F.col("s3"), S.age_days(F.col("timestamp_ms"), as_of_ms), F.col("half_life")), 9))
+    return _ranked(x.where(~gates.is_noise(F.col("text"))).drop("text"), limit)
 
 
 def lifecycle_chain(hits: DataFrame, rows: DataFrame, as_of_ms: int, limit: int = 10, hard_min: float = 0.35) -> DataFrame:
-    """Length norm, hard cutoff, decay boost; ``rows`` have the lifecycle's columns (composite, tier)."""
-    x = hits.select("query_id", "id", F.col("score").alias("s0"), F.col("rank").alias("ord")).join(rows.select("id", "len", "composite", "tier"), "id")
+    """Length norm, hard cutoff, decay boost, noise filter; ``rows`` have the lifecycle's columns (composite, tier)."""
+    x = hits.select("query_id", "id", F.col("score").alias("s0"), F.col("rank").alias("ord")).join(rows.select("id", "len", "composite", "tier", "text"), "id")
     x = x.withColumn("s1", S.length_norm(F.col("s0"), F.col("len"))).where(F.col("s1") >= hard_min)
     x = x.withColumn("score", F.round(S.decay_boost(F.col("s1"), F.col("composite"), F.col("tier")), 9))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return _ranked(x.where(~gates.is_noise(F.col("text"))).drop("text"), limit)
 
 
 def diversified(hits: DataFrame, vecs: DataFrame, limit: int = 10, cosine: float = 0.85) -> DataFrame:

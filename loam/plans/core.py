@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loam.functions import embed
 from loam.functions import scores as S
 from loam.functions import text as T
-from loam.operators import admission, chunking, extract, gates, governance, groups, lifecycle, memory, nesting, reflection, search, writes
+from loam.operators import admission, chunking, extract, gates, governance, groups, lifecycle, memory, nesting, reflection, scopes, search, writes
 from loam.operators.memory import AS_OF_MS
 from loam.streaming import state
 
@@ -86,9 +86,12 @@ docs AS (SELECT id, timestamp_ms, lower(coalesce(text, '')) AS hay FROM mem), po
 lexs AS (SELECT query_id, id, any_value(timestamp_ms) AS timestamp_ms, least(1.0, count(*) / any_value(n) * 0.68 + CASE WHEN contains(any_value(hay), any_value(query)) THEN 0.35 ELSE 0.0 END) AS score FROM post JOIN qt USING (token) GROUP BY query_id, id),
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, timestamp_ms DESC NULLS LAST, id) AS rank FROM lexs)"""
 _AGE = f"(({AS_OF_MS} - CASE WHEN m.timestamp_ms > 0 THEN m.timestamp_ms ELSE {AS_OF_MS} END) / 86400000.0)"
-CHAIN = f"""x0 AS (SELECT l.query_id, l.id, l.score AS s0, l.rank AS ord, m.importance, {_AGE} AS age, {sql_len16("coalesce(m.text, '')")} AS len FROM lex l JOIN mem m USING (id) WHERE l.rank <= 20),
+_NOISE = f"({sql_len16('s')} < 5 OR {sql_any('s', [*gates.DENIAL, *gates.META, *gates.BOILERPLATE, *gates.TRACE, *gates.DIAGNOSTIC])} OR ({sql_len16('s')} <= 180 AND {sql_any('s', gates.INSTRUCTION)}))"
+#: the effective half-life: 60 days, longer the more and the later a memory was used
+_HALF = f"CASE WHEN m.access_count <= 0 THEN 60.0 ELSE least(180.0, 60 + 30 * ln(1 + m.access_count * exp(-greatest(0.0, ({AS_OF_MS} - m.last_accessed_at) / 86400000.0) * ln(2) / 30))) END"
+CHAIN = f"""x0 AS (SELECT l.query_id, l.id, l.score AS s0, l.rank AS ord, m.importance, {_AGE} AS age, {_HALF} AS half, {sql_trim('m.t')} AS s, {sql_len16("m.t")} AS len FROM lex l JOIN norm m USING (id) WHERE l.rank <= 20),
 x1 AS (SELECT *, greatest(0.0, least(1.0, s0 + 0.1 * exp(-age / 14))) AS s1 FROM x0), x2 AS (SELECT *, greatest(0.0, least(1.0, s1 * (0.7 + 0.3 * coalesce(importance, 0.7)))) AS s2 FROM x1),
-x3 AS (SELECT *, s2 / (1 + 0.5 * log2(greatest(len / 500.0, 1.0))) AS s3 FROM x2), x4 AS (SELECT *, round(s3 * (0.5 + 0.5 * exp(-age / 60)), 9) AS score FROM x3 WHERE s3 >= 0.35),
+x3 AS (SELECT *, s2 / (1 + 0.5 * log2(greatest(len / 500.0, 1.0))) AS s3 FROM x2), x4 AS (SELECT *, round(s3 * (0.5 + 0.5 * exp(-age / half)), 9) AS score FROM x3 WHERE s3 >= 0.35 AND NOT {_NOISE}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM x4)"""
 
 
@@ -192,7 +195,7 @@ def exact_dup_compact(spark, d):
     return memory.exact_duplicates(memory.entries(spark, d))
 
 
-@query()
+@query(f"WITH {NORM}, r AS (SELECT id, unnest(from_json(j->'$.relations', '[{{\"type\":\"VARCHAR\",\"targetId\":\"VARCHAR\"}}]')) AS r FROM norm WHERE json_type(j, '$.relations') = 'ARRAY') SELECT DISTINCT id, r.targetId AS target_id, r.type AS type FROM r WHERE r.targetId IS NOT NULL")
 def relation_edges(spark, d):
     return memory.superseded(memory.normalised(memory.entries(spark, d)))
 
@@ -205,18 +208,18 @@ def lexical_topk(spark, d):
     return search.lexical(memory.entries(spark, d), query_rows(spark)).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {MEM}, {QV}, {LEX}, {CHAIN} SELECT query_id, id, rank, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2, round(s3, 6) AS s3, round(score, 6) AS score FROM ranked WHERE rank <= 10")
+@query(f"WITH {NORM}, {QV}, {LEX}, {CHAIN} SELECT query_id, id, rank, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2, round(s3, 6) AS s3, round(score, 6) AS score FROM ranked WHERE rank <= 10")
 def recall_simple(spark, d):
     m = memory.entries(spark, d)
-    ranked = search.simple_chain(search.lexical(m, query_rows(spark)), m, AS_OF_MS)
+    ranked = search.simple_chain(search.lexical(m, query_rows(spark)), memory.normalised(m), AS_OF_MS)
     return ranked.select("query_id", "id", "rank", *[F.round(c, 6).alias(c) for c in ("s0", "s1", "s2", "s3", "score")])
 
 
-@query(f"WITH {MEM}, {QV}, {LEX}, {CHAIN} SELECT query_id, 'search' AS stage, count(*) AS n, round(min(s0), 6) AS low, round(max(s0), 6) AS high FROM x0 GROUP BY 1 UNION ALL SELECT query_id, 'final', count(*), round(min(score), 6), round(max(score), 6) FROM ranked WHERE rank <= 10 GROUP BY 1")
+@query(f"WITH {NORM}, {QV}, {LEX}, {CHAIN} SELECT query_id, 'search' AS stage, count(*) AS n, round(min(s0), 6) AS low, round(max(s0), 6) AS high FROM x0 GROUP BY 1 UNION ALL SELECT query_id, 'final', count(*), round(min(score), 6), round(max(score), 6) FROM ranked WHERE rank <= 10 GROUP BY 1")
 def recall_trace(spark, d):
     m = memory.entries(spark, d)
     hits = search.lexical(m, query_rows(spark))
-    return search.trace([("search", hits, "score"), ("final", search.simple_chain(hits, m, AS_OF_MS), "score")])
+    return search.trace([("search", hits, "score"), ("final", search.simple_chain(hits, memory.normalised(m), AS_OF_MS), "score")])
 
 
 BM25 = rf"""d0 AS (SELECT id, timestamp_ms, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS words FROM mem), st AS (SELECT count(*) AS n, avg(len(words)) AS al FROM d0),
@@ -268,19 +271,10 @@ def mmr_diversity(spark, d):
 FUSE = "greatest(0.0, least(1.0, CASE WHEN v IS NULL THEN coalesce(b, 0.0) ELSE greatest(0.7 * v + 0.3 * coalesce(b, 0.0), CASE WHEN coalesce(b, 0.0) >= 0.75 THEN 0.92 * coalesce(b, 0.0) ELSE 0.0 END) END))"
 
 
-@query(f"WITH {VEC}, v AS (SELECT query_id, id, score AS v FROM vr WHERE rank <= 10), lx AS (SELECT a.vec_id AS query_id, b.vec_id AS id, CASE WHEN a.label = b.label THEN 0.8 END AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % 20 = 0), f AS (SELECT coalesce(v.query_id, lx.query_id) AS query_id, coalesce(v.id, lx.id) AS id, v, b FROM v FULL JOIN (SELECT * FROM lx WHERE rank <= 10) lx ON v.query_id = lx.query_id AND v.id = lx.id) SELECT query_id, id, round({FUSE}, 6) AS score FROM f")
-def fuse_hybrid(spark, d):
-    """Vector hits fused with a lexical arm; the label stands for the words that the test vectors lack."""
-    base, q = _vectors(spark, d)
-    arm = q.select("query_id", "label").join(base.select("id", "label"), "label").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where("rank <= 10")
-    hits = search.fused(search.vector_search(base, q, 10), arm.select("query_id", "id", F.lit(0.8).alias("score"), "rank"))
-    return hits.select("query_id", "id", F.round("score", 6).alias("score"))
-
-
-@query(f"WITH {MEM}, {QV}, {LEX}, {CHAIN}, p AS (SELECT query_id, id, rank, least(180, length(coalesce(text, ''))) AS len FROM ranked JOIN mem USING (id) WHERE rank <= 3), c AS (SELECT query_id, id, rank, least(len, 600 - coalesce(sum(len) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS chars FROM p) SELECT query_id, id, rank, chars FROM c WHERE chars > 0")
+@query(f"WITH {NORM}, {QV}, {LEX}, {CHAIN}, pp AS (SELECT query_id, id, rank, least(180, length(coalesce(text, ''))) AS len FROM ranked JOIN mem USING (id) WHERE rank <= 3), pc AS (SELECT query_id, id, rank, least(len, 600 - coalesce(sum(len) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS chars FROM pp) SELECT query_id, id, rank, chars FROM pc WHERE chars > 0")
 def pack_context(spark, d):
     m = memory.entries(spark, d)
-    return search.packed(search.simple_chain(search.lexical(m, query_rows(spark)), m, AS_OF_MS), m)
+    return search.packed(search.simple_chain(search.lexical(m, query_rows(spark)), memory.normalised(m), AS_OF_MS), m)
 
 
 # --- lifecycle ---------------------------------------------------------------------------------------------------
@@ -315,7 +309,7 @@ def effective_half_life(spark, d):
     return x.select("id", F.round(S.effective_half_life(60.0, F.col("access_count"), days), 6).alias("half_life"))
 
 
-@query(f"WITH {LIFE}, {QV}, {LEX.replace('FROM mem', 'FROM norm')}, y AS (SELECT l.query_id, l.id, l.rank AS ord, l.score / (1 + 0.5 * log2(greatest({sql_len16('f.t')} / 500.0, 1.0))) AS s1, greatest(CASE tier WHEN 'core' THEN 0.9 WHEN 'peripheral' THEN 0.5 ELSE 0.7 END, composite) AS lifted FROM lex l JOIN life f USING (id) WHERE l.rank <= 20), z AS (SELECT *, round(s1 * least(1.0, greatest(0.3, 0.3 + 0.7 * lifted)), 9) AS score FROM y WHERE s1 >= 0.35), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM z) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
+@query(f"WITH {LIFE}, {QV}, {LEX.replace('FROM mem', 'FROM norm')}, y AS (SELECT l.query_id, l.id, l.rank AS ord, {sql_trim('f.t')} AS s, l.score / (1 + 0.5 * log2(greatest({sql_len16('f.t')} / 500.0, 1.0))) AS s1, greatest(CASE tier WHEN 'core' THEN 0.9 WHEN 'peripheral' THEN 0.5 ELSE 0.7 END, composite) AS lifted FROM lex l JOIN life f USING (id) WHERE l.rank <= 20), z AS (SELECT *, round(s1 * least(1.0, greatest(0.3, 0.3 + 0.7 * lifted)), 9) AS score FROM y WHERE s1 >= 0.35 AND NOT {_NOISE}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM z) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def recall_lifecycle(spark, d):
     rows = lifecycle.decay(memory.normalised(memory.entries(spark, d)), AS_OF_MS)
     return search.lifecycle_chain(search.lexical(memory.entries(spark, d), query_rows(spark)), rows, AS_OF_MS).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
@@ -325,7 +319,6 @@ def recall_lifecycle(spark, d):
 
 _C = sql_trim("coalesce(text, '')")
 TX = f"{MEM}, tx AS (SELECT id, coalesce(text, '') AS text, {_C} AS s FROM mem)"
-_NOISE = f"({sql_len16('s')} < 5 OR {sql_any('s', [*gates.DENIAL, *gates.META, *gates.BOILERPLATE, *gates.TRACE, *gates.DIAGNOSTIC])} OR ({sql_len16('s')} <= 180 AND {sql_any('s', gates.INSTRUCTION)}))"
 _CJK = "regexp_matches(s, '[一-鿿぀-ゟ゠-ヿ가-힯]')"
 
 
@@ -344,7 +337,10 @@ def capture_verdict(spark, d):
     return memory.entries(spark, d, ["id", "text"]).select("id", gates.capture_verdict(F.col("text")).alias("verdict"))
 
 
-@query(f"WITH {TX} SELECT id, CASE WHEN {sql_any('s', gates.FORCE)} THEN false WHEN {sql_len16('s')} < 5 THEN true WHEN {sql_any('s', gates.SKIP)} THEN true ELSE {sql_len16('s')} < CASE WHEN {_CJK} THEN 6 ELSE 15 END AND NOT (contains(s, '?') OR contains(s, '？')) END AS skip FROM tx")
+_PROMPT = sql_trim("regexp_replace(regexp_replace(regexp_replace(s0, " + ", '', 'g'), ".join(_s(p) for p in gates.PROMPT_HEADS) + ", '', 'g')")
+
+
+@query(f"WITH {TX.replace('AS s FROM', 'AS s0 FROM')}, ty AS (SELECT id, {_PROMPT} AS s FROM tx) SELECT id, CASE WHEN {sql_any('s', gates.FORCE)} THEN false WHEN {sql_len16('s')} < 5 THEN true WHEN {sql_any('s', gates.SKIP)} THEN true ELSE {sql_len16('s')} < CASE WHEN {_CJK} THEN 6 ELSE 15 END AND NOT (contains(s, '?') OR contains(s, '？')) END AS skip FROM ty")
 def should_skip(spark, d):
     return memory.entries(spark, d, ["id", "text"]).select("id", gates.should_skip(F.col("text")).alias("skip"))
 
@@ -385,7 +381,7 @@ def redacted_texts(spark, d):
     return memory.entries(spark, d, ["id", "text"]).select("id", gates.redacted(F.col("text")).alias("text"))
 
 
-@query(f"WITH {TX} SELECT DISTINCT {sql_line(chr(114) + 'egexp_replace(lower(text), ' + chr(39) + '[0-9]+(\\.[0-9]+)?' + chr(39) + ', ' + chr(39) + '#' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS reason FROM tx WHERE length(text) < 200")
+@query(f"WITH {TX} SELECT DISTINCT {sql_line(chr(114) + 'egexp_replace(lower(text), ' + chr(39) + '[0-9]+(\\.[0-9]+)?' + chr(39) + ', ' + chr(39) + '#' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS reason FROM tx")
 def reason_keys(spark, d):
     return memory.entries(spark, d, ["id", "text"]).select(gates.reason_key(F.col("text")).alias("reason")).distinct()
 
@@ -511,10 +507,12 @@ def hygiene_counts(spark, d):
     return writes.hygiene(memory.normalised(memory.entries(spark, d))).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {MEM} SELECT id, scope, lead(id) OVER w AS superseded_by, lead(timestamp_ms) OVER w AS valid_to FROM mem WHERE scope IS NOT NULL AND timestamp_ms IS NOT NULL WINDOW w AS (PARTITION BY scope ORDER BY timestamp_ms, id)")
+@query(f"WITH {NORM}, k AS (SELECT id, memory_category, {_CLEAN} AS c, coalesce(scope, 'global') AS scope, coalesce(timestamp_ms, 0) AS ts FROM norm WHERE memory_category IN ('preferences', 'entities')), f AS (SELECT id, scope || '|' || memory_category || ':' || c AS fact, ts FROM k WHERE c <> '') SELECT id, lead(id) OVER w AS superseded_by, lead(ts) OVER w AS valid_to FROM f WINDOW w AS (PARTITION BY fact ORDER BY ts, id)")
 def version_chains(spark, d):
-    x = memory.entries(spark, d).where("scope is not null and timestamp_ms is not null")
-    return governance.versions(x, "scope", "timestamp_ms").select("id", "scope", "superseded_by", "valid_to")
+    """Versions of one fact of a scope: each holds until the next one."""
+    x = memory.normalised(memory.entries(spark, d)).withColumn("fact", memory.fact_key(F.col("memory_category"), F.col("l0"))).where("fact is not null")
+    x = x.select("id", F.concat_ws("|", F.coalesce("scope", F.lit("global")), "fact").alias("fact"), F.coalesce("timestamp_ms", F.lit(0)).alias("ts"))
+    return governance.versions(x, "fact", "ts").select("id", "superseded_by", "valid_to")
 
 
 @query()
@@ -526,10 +524,10 @@ def support_stats(spark, d):
     return governance.support(x)
 
 
-@query("WITH a AS (SELECT * FROM (VALUES ('main', 'agent:main'), ('main', 'global'), ('guest', 'global')) AS v(agent, scope)) SELECT agent, count(DISTINCT id) AS n FROM (SELECT DISTINCT id, scope FROM memory_entries) m JOIN a ON m.scope = a.scope GROUP BY agent")
+@query("WITH a AS (SELECT * FROM (VALUES ('main', 'agent:main'), ('main', 'global'), ('guest', 'global')) AS v(agent, scope)) SELECT agent, count(DISTINCT id) AS n FROM (SELECT DISTINCT id, coalesce(scope, 'global') AS scope FROM memory_entries) m JOIN a ON m.scope = a.scope GROUP BY agent")
 def agent_access(spark, d):
-    access = spark.createDataFrame([("main", "agent:main"), ("main", "global"), ("guest", "global")], "agent string, scope string")
-    return memory.entries(spark, d, ["id", "scope"]).join(F.broadcast(access), "scope").groupBy("agent").agg(F.countDistinct("id").alias("n"))  # a configured list
+    access = scopes.access_table(spark, {"main": ["agent:main", "global"], "guest": ["global"]})
+    return scopes.visible(memory.entries(spark, d, ["id", "scope"]), access).groupBy("agent").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
