@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators import extract, gates
+from loam.scratch import written
 
 # Fixed values.
 RESET_PREFIX = "A new session was started via /new or /reset. Execute your Session Startup sequence now"
@@ -140,7 +141,7 @@ def captured(messages: DataFrame, most: int = 2) -> DataFrame:
     """(conversation, n, text, category, importance): the first ``most`` texts of each conversation that are worth keeping.
 
     messages: (conversation, n, role, text) in order of n. Importance is 0.7, as for any captured text."""
-    x = normalised(messages.where("role = 'user'")).where("text is not null")
+    x = written(normalised(messages.where("role = 'user'")), "captured").where("text is not null")  # the steps run once
     x = x.where(should_capture(F.col("text")) & ~gates.is_noise(F.col("text")))
     x = x.withColumn("r", F.row_number().over(W.partitionBy("conversation").orderBy("n"))).where(F.col("r") <= most)
     return x.select("conversation", "n", "text", gates.category(F.col("text")).alias("category"), F.lit(0.7).alias("importance"))

@@ -27,8 +27,15 @@ def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("table").agg(F.count("*").alias("n_rows"), F.countDistinct("id", "parent_path").alias("n_parents"), F.max("position").alias("last_position"))
 
 
+def p5_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all flat tables: table, id, row_key, parent_key, position and the inlined values as JSON."""
+    entries = spark.read.parquet(f"{sf_dir}/memory_entries.parquet")
+    rows = nesting.shred(entries, "id", "metadata", nesting.plan_of(entries, "metadata", ARRAYS)).dropDuplicates(["id", "node_path"])
+    return rows.select("table", "id", F.col("node_path").alias("row_key"), F.col("parent_path").alias("parent_key"), "position", F.to_json("values").alias("values"))
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_tables": p5_tables}
+    return {"p5_found": p5_found, "p5_tables": p5_tables, "p5_rows": p5_rows}
 
 
 def oracle_sql() -> dict[str, str]:
