@@ -4,8 +4,8 @@
 2. ``seeds``: an item's seeds are chosen so that each of its windows of ``RUN`` words holds one: in each window of
    ``RUN - N + 1`` n-grams in a row, the rarest. Items shorter than that have their rarest n-gram, items shorter than
    ``N`` words are seeds as a whole. Passages that lie between seeds cannot be ``RUN`` words long.
-3. ``short_seeds`` are the rarest n-grams of three words in each window of eight; two of them in a document make a
-   hit, so copies that are edited every few words are found too.
+3. ``short_seeds`` are the rarest n-grams of three words in each window of eight; two of them in line
+   make a hit, so copies that are edited every few words are found too.
 4. A second pass over the corpus looks the seeds up and emits (document, item) with the words of the passage around
    the hits; the items, in parts of bounded size, are what is sent to the executors.
 5. ``smith_waterman`` aligns passage and item by words, along diagonals as long as the item, so that edited copies get a
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from loam.llm import words
 
 N, RUN = 5, 12
-#: words in the short seeds that find edited copies, words of a window that has one, and short seeds that make a hit
-SHORT, WITHIN, HITS = 3, 8, 2
+#: words in the short seeds that find edited copies, and words of a window that has one
+SHORT, WITHIN = 3, 8
 #: A part of the suite of so many words is held in each task; a larger suite is taken part by part.
 MOST_WORDS = 5_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -90,18 +90,29 @@ def seeds(suite: dict[int, list[str]], counts: dict[tuple[str, ...], int], run:
     return out
 
 
-def short_seeds(suite: dict[int, list[str]], counts: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], set[int]]:
-    """Seed of ``SHORT`` words -> the items it comes from: the rarest in each window of ``WITHIN`` words. A copy that is
-    edited every few words still holds some of them."""
-    out: dict[tuple[str, ...], set[int]] = defaultdict(set)
+def short_seeds(suite: dict[int, list[str]], counts: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], set[tuple[int, int]]]:
+    """Seed of ``SHORT`` words -> the items it comes from and its places in them: the rarest in each window of ``WITHIN``
+    words. A copy that is edited every few words still holds some of them, in order."""
+    out: dict[tuple[str, ...], set[tuple[int, int]]] = defaultdict(set)
     for item, ws in suite.items():
         if len(ws) > WITHIN:
             gs = grams(ws, SHORT)
             for s in range(len(gs) - (WITHIN - SHORT)):
-                out[min(gs[s : s + WITHIN - SHORT + 1], key=lambda g: (counts.get(g, 0), g))].add(item)
+                # what no document holds is no seed: edits have made it disappear
+                there = [k for k in range(s, s + WITHIN - SHORT + 1) if gs[k] in counts]
+                if there:
+                    best = min(there, key=lambda k: (counts[gs[k]], gs[k]))
+                    out[gs[best]].add((item, best))
     return out
 
 
+def in_line(some: list[tuple[int, int, tuple[str, ...]]]) -> list[int]:
+    """Of hits (place less place in the item, place, seed) the places of those that another seed's hit stands in line with:
+    as far apart in the document as in the item, but for ``WITHIN`` words."""
+    some = sorted(some)
+    return [p for k, (d, p, key) in enumerate(some) if any(o[2] != key and abs(o[0] - d) <= WITHIN for o in (*some[max(0, k - 2) : k], *some[k + 1 : k + 3]))]
+
+
 def longest_run(a: list[str], b: list[str]) -> int:
     """Words of the longest passage that both texts hold."""
     best, ends = 0, {}
@@ -185,15 +196,16 @@ def _leaks_of(texts: DataFrame, suite: dict[int, list[str]], text_col: str, run:
                 if not lookup or not (at := hits(ws := words.plain_words(text), lookup)):
                     continue
                 by_item: dict[int, list[int]] = defaultdict(list)
-                few: dict[int, set] = defaultdict(set)
+                few: dict[int, list] = defaultdict(list)
                 for p, key in at:
                     for item in found.get(key, ()):
                         by_item[item].append(p)
-                    for item in short.get(key, ()):
-                        few[item].add((key, p))
+                    for item, place in short.get(key, ()):
+                        few[item].append((p - place, p, key))
                 for item, some in few.items():
-                    if item in by_item or len({k for k, _ in some}) >= HITS:
-                        by_item[item] += [p for _, p in some]
+                    if item in by_item or len(some) > 1:
+                        if line := in_line(some):
+                            by_item[item] += line
                 for item, places in by_item.items():
                     whole = suite[item]
                     parts = [ws[s:e] for s, e in passages(places, len(ws), len(whole) + N)]

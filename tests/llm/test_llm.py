@@ -301,6 +301,22 @@ def test_leaks(spark):
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_edited_copies(spark):
+    """Copies with every fourth, fifth or sixth word changed are found by their alignment."""
+    vocabulary = [f"w{i}" for i in range(900)]
+    items = [(k, " ".join(RNG.choice(vocabulary, 40))) for k in range(20)]
+    docs, want = [], {}
+    for k, t in items:
+        for every in (4, 5, 6):
+            ws = [f"edit{RNG.integers(99)}" if i % every == every - 1 else w for i, w in enumerate(t.split())]
+            want[len(docs)] = k
+            docs.append((len(docs), " ".join([*RNG.choice(vocabulary, 30), *ws, *RNG.choice(vocabulary, 30)])))
+    docs += [(1_000 + k, " ".join(RNG.choice(vocabulary, 200))) for k in range(50)]
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("share >= 0.4").collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert len(found & set(want.items())) >= 0.9 * len(want) and not any(d >= 1_000 for d, _ in found)
+
+
 def test_alignment():
     a = "the quick brown fox jumps over the lazy dog".split()
     assert leaks.smith_waterman(a, a) == 18 and leaks.smith_waterman(a, []) == 0
