@@ -34,6 +34,8 @@ def doctor(memories: DataFrame, vectors: DataFrame, index: DataFrame | None = No
     text = lambda c, t: F.concat(c.cast("string"), F.lit(t))
     issues = [F.when(F.col("missing") > 0, F.struct(F.lit("vectors").alias("check"), F.lit("error").alias("severity"), text(F.col("missing"), " rows without a vector").alias("detail"))), F.when(F.col("stale") > 0, F.struct(F.lit("vectors").alias("check"), F.lit("error").alias("severity"), text(F.col("stale"), " vectors without a row").alias("detail")))]
     out = d.select(F.explode(F.array_compact(F.array(*issues))).alias("i")).select("i.*")
+    if "scope" not in vectors.columns:
+        vectors = vectors.join(memories.select("id", "scope"), "id", "left")
     both = scopes(memories).withColumnRenamed("n", "t").join(scopes(vectors).withColumnRenamed("n", "v"), "scope", "full").where(~F.col("t").eqNullSafe(F.col("v")))
     out = out.unionByName(both.select(F.lit("scopes").alias("check"), F.lit("warning").alias("severity"), F.concat("scope", F.lit(": "), F.coalesce("t", F.lit(0)).cast("string"), F.lit(" rows, "), F.coalesce("v", F.lit(0)).cast("string"), F.lit(" vectors")).alias("detail")))
     blank = memories.agg(F.count(F.when(F.trim(F.coalesce("scope", F.lit(""))) == "", 1)).alias("n")).where("n > 0")

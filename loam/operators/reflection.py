@@ -76,12 +76,13 @@ def section_lines(text: Column, heading: str, injectable: bool = False) -> Colum
     from loam.operators.extract import UNSAFE
 
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: T.trim(x))
+    named = lambda a, b: F.named_struct(F.lit("open"), a, F.lit("out"), b)
     # a fold over the lines carries whether the wanted section is open
     state = F.aggregate(
         lines,
-        F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.when(x.startswith("## "), F.struct((F.lower(T.trim(F.substring(x, 4, 1_000))) == heading.lower()).alias("open"), acc["out"].alias("out")))
-        .when(acc["open"] & (x.startswith("- ") | x.startswith("* ")), F.struct(acc["open"].alias("open"), F.concat(acc["out"], F.array(x)).alias("out")))
+        named(F.lit(False), F.array().cast("array<string>")),
+        lambda acc, x: F.when(x.startswith("## "), named(F.lower(T.trim(F.substring(x, 4, 1_000))) == heading.lower(), acc["out"]))
+        .when(acc["open"] & (x.startswith("- ") | x.startswith("* ")), named(acc["open"], F.concat(acc["out"], F.array(x))))
         .otherwise(acc),
     )
     found = F.transform(state["out"], lambda x: clean_line(F.substring(x, 3, 1_000_000)))
