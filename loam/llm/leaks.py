@@ -30,6 +30,8 @@ from loam.llm import words
 N, RUN = 5, 12
 #: words in the short seeds that find edited copies, and words of a window that has one
 SHORT, WITHIN = 3, 8
+#: share of an item's words that a passage found by short seeds holds at least
+LEAST = 0.5
 #: A part of the suite of so many words is held in each task; a larger suite is taken part by part.
 MOST_WORDS = 5_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -106,11 +108,45 @@ def short_seeds(suite: dict[int, list[str]], counts: dict[tuple[str, ...], int])
     return out
 
 
-def in_line(some: list[tuple[int, int, tuple[str, ...]]]) -> list[int]:
-    """Of hits (place less place in the item, place, seed) the places of those that another seed's hit stands in line with:
-    as far apart in the document as in the item, but for ``WITHIN`` words."""
+def in_line(some: list[tuple[int, tuple[str, ...]]]) -> list[int]:
+    """Of hits (place less place in the item, seed) the diagonals that another seed's hit stands in line with: as far apart
+    in the document as in the item, but for ``WITHIN`` words. Diagonals nearer to each other than that are one."""
     some = sorted(some)
-    return [p for k, (d, p, key) in enumerate(some) if any(o[2] != key and abs(o[0] - d) <= WITHIN for o in (*some[max(0, k - 2) : k], *some[k + 1 : k + 3]))]
+    out: list[int] = []
+    for k, (d, key) in enumerate(some):
+        if (not out or d - out[-1] > WITHIN) and any(o[1] != key and o[0] - d <= WITHIN for o in some[k + 1 : k + 4]):
+            out.append(d)
+    return out
+
+
+def aligned(ws: list[str], suite: dict[int, list[str]], found: dict, short: dict, lookup: dict, run: int = RUN) -> list[tuple[int, int, int, int, float]]:
+    """(item, run_words, item_words, score, share) of the items that a document's words hold a part of.
+
+    Around a literal seed the passage is aligned with ``N`` words more than the item on either side. In line with short
+    seeds it is as long as the item, and aligned only if it holds at least ``LEAST`` of the item's words in any order,
+    without which no alignment reaches that share."""
+    by_item: dict[int, list[int]] = defaultdict(list)
+    few: dict[int, list] = defaultdict(list)
+    for p, key in hits(ws, lookup):
+        for item in found.get(key, ()):
+            by_item[item].append(p)
+        for item, place in short.get(key, ()):
+            few[item].append((p - place, key))
+    parts: dict[int, list[list[str]]] = {item: [ws[s:e] for s, e in passages(places, len(ws), len(suite[item]) + N)] for item, places in by_item.items()}
+    for item, some in few.items():
+        if item not in by_item and len(some) > 1:
+            whole = suite[item]
+            for d in in_line(some):
+                part = ws[max(0, d - WITHIN) : d + len(whole) + 2 * WITHIN]
+                if sum((Counter(part) & Counter(whole)).values()) >= LEAST * len(whole):
+                    parts.setdefault(item, []).append(part)
+    out = []
+    for item, some in parts.items():
+        whole = suite[item]
+        score = max(smith_waterman(p, whole) for p in some)
+        literal = max(longest_run(p, whole) for p in some) if score >= MATCH * min(run, len(whole)) else 0
+        out.append((item, literal, len(whole), score, score / (MATCH * len(whole))))
+    return out
 
 
 def longest_run(a: list[str], b: list[str]) -> int:
@@ -193,25 +229,8 @@ def _leaks_of(texts: DataFrame, suite: dict[int, list[str]], text_col: str, run:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not lookup or not (at := hits(ws := words.plain_words(text), lookup)):
-                    continue
-                by_item: dict[int, list[int]] = defaultdict(list)
-                few: dict[int, list] = defaultdict(list)
-                for p, key in at:
-                    for item in found.get(key, ()):
-                        by_item[item].append(p)
-                    for item, place in short.get(key, ()):
-                        few[item].append((p - place, p, key))
-                for item, some in few.items():
-                    if item in by_item or len(some) > 1:
-                        if line := in_line(some):
-                            by_item[item] += line
-                for item, places in by_item.items():
-                    whole = suite[item]
-                    parts = [ws[s:e] for s, e in passages(places, len(ws), len(whole) + N)]
-                    score = max(smith_waterman(p, whole) for p in parts)
-                    literal = max(longest_run(p, whole) for p in parts) if score >= MATCH * min(run, len(whole)) else 0
-                    for column, value in zip(out, (doc, item, literal, len(whole), score, score / (MATCH * len(whole)))):
+                for row in aligned(words.plain_words(text), suite, found, short, lookup, run) if text else ():
+                    for column, value in zip(out, (doc, *row)):
                         column.append(value)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "item_id", "run_words", "item_words", "score", "share"])
