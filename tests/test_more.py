@@ -108,6 +108,24 @@ def test_conflicts_need_like_predicates(spark):
     assert {r.id: r.conflict_ids for r in governance.marked(pairs).collect()} == {"a": ["b"], "b": ["a"]}
 
 
+def test_conflicts_of_long_claims(spark, monkeypatch):
+    """A claim is keyed by its value's tokens, not by every pair of a token of the subject and one of the value."""
+    subject, value = " ".join(f"s{i}" for i in range(200)), " ".join(f"v{i}" for i in range(300))
+    rows = [("a", f"{subject} was {value}", "fact", "s"), ("b", f"{subject} was not {value} never", "fact", "s"), ("c", f"{subject} was v1 v2 v3 q4", None, "s"), ("d", f"{subject} was not v1 v2 v3 v5", None, "s"), ("e", f"{subject} was not v1 v2 q8 q9", None, "s")]
+    counts = {}
+    written = governance.written
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(governance, "written", counted)
+    pairs = governance.conflicts(spark.createDataFrame(rows, "id string, text string, category string, scope string"))
+    assert {tuple(r) for r in pairs.collect()} == {("a", "b"), ("c", "d")}
+    assert counts["claim-keys"] < 1_000
+
+
 HYGIENE = [("scratch-1", "note", "other", "g", 0.2, 1, "{}"), ("durable-1", "a fact", "fact", "g", 0.8, 2, "{}"), ("active-1", "b", "fact", "g", 0.9, 3, json.dumps({"memory_category": "cases", "state": "confirmed", "source": "manual", "memory_layer": "durable", "tier": "working", "l0_abstract": "b", "confidence": 0.8, "valid_from": 3})), ("odd", None, None, None, None, None, "broken {")]
 
 
