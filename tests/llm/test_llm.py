@@ -131,6 +131,17 @@ def brute(rows, k):
     return best
 
 
+def test_neighbours_are_shuffled_once(spark):
+    """What is shuffled grows with the vectors, not with the cells that these visit."""
+    x = RNG.normal(size=(2_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    units = spark.createDataFrame([(f"{i:04d}", "g", bytearray(v.astype(np.float32).tobytes())) for i, v in enumerate(x)], "id string, grp string, unit binary").repartition(4)
+    moved = lambda: sum(e.totalShuffleWrite() for e in [spark._jsc.sc().statusStore().executorList(False).apply(0)])
+    before = moved()
+    got = neighbours.nearest(units, 5, cell=100).collect()
+    assert len(got) == 10_000 and moved() - before < 10_000_000
+
+
 def test_neighbours(spark):
     rows = [(f"{i:04d}", "big" if i < 900 else f"s{i % 7}", RNG.normal(size=64)) for i in range(1100)]
     for i in range(100):
