@@ -1,10 +1,8 @@
 """Personal information in free text: found by a character tagger, replaced by typed placeholders.
 
-1. ``regions`` marks the stretches of a text in which an item can stand at all: around an @ or a spelt-out one, a run of
-   six or more digits, a number beside a street or a capital, neighbouring capitalised words of any alphabet, a Chinese
-   surname. Nothing else of a text is tagged; the conditions are necessary ones for the five kinds, with ``CONTEXT``
-   characters on either side.
-2. Regions are cut in windows of ``WINDOW`` characters that overlap by half. Windows of many texts are decoded at once
+1. Texts are tagged whole, every character of them; equal ones once. Only a text in which no span whatever could pass the
+   exact check below (``possible``: conditions that follow from it) is left out, as it would come out empty.
+2. Texts are cut in windows of ``WINDOW`` characters that overlap by ``OVERLAP``. Windows of many texts are decoded at once
    (``pii_model``): the bidirectional LSTM scores tags, Viterbi over the CRF transitions picks the best sequence.
 3. The windows are reconciled globally: each character takes its tag from the window in whose middle it stands, and
    the spans are read off the whole text, so an item that crosses windows is one.
@@ -33,21 +31,15 @@ from loam.llm.pii_examples import HAN_GIVEN, HAN_SURNAMES
 from loam.llm.pii_model import TAGS, Tagger, ids_of
 from loam.llm.pii_train import WEIGHTS
 
-WINDOW, CONTEXT, BATCH = 192, 36, 1_024
+WINDOW, OVERLAP, BATCH = 480, 96, 512
 #: how far decoding leans towards items (``Tagger.decode``)
 LEAN = 1.0
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 _UPPER = "".join(chr(c) for c in range(0x80, 0x530) if chr(c).isupper())
 _CAP = f"[A-Z{_UPPER}]"
-_AT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\bat\b(?=[^\n]{1,40}?\bdot\b)", re.I)
-_STREETS = "|".join(rf"(?<={w} \d)" for w in ("straße", "strasse", r"str\.", "gasse", "weg", "allee", "platz", "ufer", "ring", "damm", "steig", "street", "road"))
-_NUMBER = re.compile(rf"\d(?:(?:[ .()/\-]{{0,3}}\d){{5,}}|\d*[a-z]?(?: bis| ter)?,? +(?={_CAP}|rue\b|avenue\b|place\b|calle\b|boulevard\b|chemin\b|quai\b)|{_STREETS})")
 #: small words within names
 _PARTICLES = frozenset("de del da di von van der den la le y e dos du zu".split())
-_NAME = re.compile(rf"{_CAP}[\w’'-]*(?=\.?(?:,\s|\s)(?:(?:{'|'.join(_PARTICLES)})\s){{0,2}}(?:{_CAP}\.\s)?{_CAP}[\w’'-])|{_CAP}[\w’'-]*\s?\.\s?(?={_CAP}[\w’'-])")
-_HAN = re.compile(f"[{HAN_SURNAMES}](?=[{HAN_SURNAMES}{HAN_GIVEN}一-鿿])")
-_RUN = re.compile(r"[A-Za-z0-9]*")
 _CHANGE = re.compile(r"[A-Za-z](?=\d)|\d(?=[A-Za-z])")
 
 #: A house number beside a name or a kind of street.
@@ -62,42 +54,16 @@ _DIALLED = re.compile(r"(?:\+|00)\d[\d ()./-]{7,}|0\d(?:[ .]\d\d){4}")
 _EMAIL = re.compile(r"[\w+-]+(?:(?:\.| ?[(\[]dot[)\]] ?| dot )[\w+-]+)*\s?(?:@|[(\[{]\s?at\s?[)\]}]|\bat\b)\s?[\w-]+(?:\s?(?:\.|[(\[{]\s?dot\s?[)\]}]|\bdot\b)\s?[\w-]+)+", re.I)
 
 
-def anchors(text: str) -> list[tuple[int, int]]:
-    """Where an item can stand. Digits in a run of letters and digits that alternate four times and more are those of a
-    hash or of encoded data, not of a number."""
-    out = []
-    low = text.lower()
-    if "@" in text or "dot" in low or "at]" in low or "at)" in low or "at}" in low:
-        out += [m.span() for m in _AT.finditer(text)]
-    far = 0
-    for m in _NUMBER.finditer(text):
-        s, e = m.span()
-        if s < far:
-            continue
-        run = _RUN.match(text, s)
-        start = s
-        while start and text[start - 1].isascii() and text[start - 1].isalnum() and s - start < 256:
-            start -= 1
-        if len(_CHANGE.findall(text, start, run.end())) >= 4:
-            far = run.end()
-        else:
-            out.append((s, e))
-    out += [m.span() for m in _NAME.finditer(text) if m.start() == 0 or not text[m.start() - 1].isalnum()]
-    if not text.isascii():
-        out += [m.span() for m in _HAN.finditer(text)]
-    return sorted(out)
-
-
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around the anchors, merged where they meet."""
-    out: list[list[int]] = []
-    for a, b in anchors(text):
-        s, e = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(e, out[-1][1])
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+_AT = re.compile(r"@|\bat\b", re.I)
+_FIRST_NAME, _NEXT_NAME, _HAN = re.compile(_CAP), re.compile(rf"[\s,]{_CAP}"), re.compile("[一-鿿]{2}")
+_SIX_DIGITS = re.compile(r"(?:\d\D*){6}")
+
+
+def possible(text: str) -> bool:
+    """Whether some span of the text could pass ``_checked``: an @ or an "at" of an e-mail, six digits of a number, a house
+    number, two words of a name."""
+    first = _FIRST_NAME.search(text)
+    return bool(first and _NEXT_NAME.search(text, first.end()) or _HAN.search(text) or _AT.search(text) or _SIX_DIGITS.search(text) or _HOUSE.search(text) or not text.isascii() and sum(c.isdigit() for c in text) >= 6)
 
 
 @lru_cache(1)
@@ -105,12 +71,11 @@ def tagger(weights: str = WEIGHTS) -> Tagger:
     return Tagger.load(weights)
 
 
-def _cut(s: int, e: int) -> list[tuple[int, int]]:
-    """Windows over s..e that overlap by half."""
-    if e - s <= WINDOW:
-        return [(s, e)]
-    starts = [*range(s, e - WINDOW, WINDOW // 2), e - WINDOW]
-    return [(x, x + WINDOW) for x in starts]
+def _cut(n: int) -> list[tuple[int, int]]:
+    """Windows over n characters that overlap."""
+    if n <= WINDOW:
+        return [(0, n)]
+    return [*((x, x + WINDOW) for x in range(0, n - WINDOW, WINDOW - OVERLAP)), (n - WINDOW, n)]
 
 
 def _checked(text: str, s: int, e: int, kind: str) -> tuple[int, int, str] | None:
@@ -171,15 +136,17 @@ def _checked(text: str, s: int, e: int, kind: str) -> tuple[int, int, str] | Non
 def find_all(texts: list[str], weights: str = WEIGHTS) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of each text, in order."""
     model = tagger(weights)
-    wide, places, pieces = [], [], []  # wide: (text, start, end, first window) of each region
-    for k, text in enumerate(texts):
-        if text and (rs := regions(text)):
+    places, pieces = [], []
+    wide = []  # (text, first window) of each distinct text
+    first_of: dict[str, int] = {}
+    same = [first_of.setdefault(text or "", k) for k, text in enumerate(texts)]
+    for text, k in first_of.items():
+        if possible(text):
             ids = ids_of(text)
-            for s, e in rs:
-                wide.append((k, s, e, len(pieces)))
-                for a, b in _cut(s, e):
-                    places.append((a, b))
-                    pieces.append(ids[a:b])
+            wide.append((k, len(pieces)))
+            for a, b in _cut(len(text)):
+                places.append((a, b))
+                pieces.append(ids[a:b])
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if not pieces:
         return out
@@ -194,14 +161,14 @@ def find_all(texts: list[str], weights: str = WEIGHTS) -> list[list[tuple[int, i
         found = model.decode(ids, LEAN)
         for c, i in enumerate(some):
             tags[i] = found[: len(pieces[i]), c]
-    ends = [w[3] for w in wide[1:]] + [len(pieces)]
-    for (k, s, e, first), last in zip(wide, ends):
-        line = np.zeros(e - s, np.int64)
+    ends = [w[1] for w in wide[1:]] + [len(pieces)]
+    for (k, first), last in zip(wide, ends):
+        line = np.zeros(len(texts[k]), np.int64)
         # each window gives the characters up to the middle of its overlap with the next
         for i in range(first, last):
             a, b = places[i]
             left = a if i == first else (a + places[i - 1][1]) // 2
-            line[left - s : b - s] = tags[i][left - a :]
+            line[left:b] = tags[i][left - a :]
         marked = np.flatnonzero(line)
         t = int(marked[0]) if len(marked) else len(line)
         while t < len(line):
@@ -211,10 +178,10 @@ def find_all(texts: list[str], weights: str = WEIGHTS) -> list[list[tuple[int, i
             kind, u = TAGS[line[t]][2:], t + 1
             while u < len(line) and TAGS[line[u]] == f"I-{kind}":
                 u += 1
-            if (span := _checked(texts[k], s + t, s + u, kind)) and (not out[k] or span[0] >= out[k][-1][1]):
+            if (span := _checked(texts[k], t, u, kind)) and (not out[k] or span[0] >= out[k][-1][1]):
                 out[k].append(span)
             t = u
-    return out
+    return [out[k] for k in same]
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:

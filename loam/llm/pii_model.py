@@ -117,10 +117,38 @@ class Tagger:
                 saved.append((t, gates, g, tc, before_c, before_h, pad))
         return out, saved
 
+    def _states(self, ids: np.ndarray, d: str) -> np.ndarray:
+        """As ``_run``, for decoding: one tanh gives all gates, and arrays are used again."""
+        n = self.p["h" + d].shape[0]
+        half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])
+        table, rec = self.p["x" + d] * half, self.p["h" + d] * half
+        steps, batch = ids.shape
+        out = np.empty((steps, batch, n), np.float32)
+        h, c = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
+        z, y, tc = np.empty((batch, 4 * n), np.float32), np.empty((batch, 4 * n), np.float32), np.empty_like(c)
+        gates, i, f, o, g = z[:, : 3 * n], z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
+        pads = (ids == 0).any(1)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.take(table, ids[t], 0, out=z, mode="clip")
+            np.matmul(h, rec, out=y)
+            z += y
+            np.tanh(z, out=z)
+            gates *= 0.5
+            gates += 0.5
+            g *= i
+            c *= f
+            c += g
+            h = out[t]
+            np.multiply(o, np.tanh(c, out=tc), out=h)
+            if pads[t]:
+                pad = ids[t] == 0
+                c[pad] = 0
+                h[pad] = 0
+        return out
+
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """(t, b, tags) for ids (t, b)."""
-        f, _ = self._run(ids, "f", False)
-        b, _ = self._run(ids, "b", False)
+        f, b = self._states(ids, "f"), self._states(ids, "b")
         n = f.shape[2]
         return f @ self.p["e"][:n] + b @ self.p["e"][n:] + self.p["eb"]
 
@@ -131,18 +159,18 @@ class Tagger:
         e[:, :, 1::2] += lean  # B tags
         e[ids == 0] = -1e4
         e[ids == 0, 0] = 0
-        steps, batch, n = e.shape
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        steps, n, batch = e.shape
         trans = self.p["t"] + FORBIDDEN
-        score = e[0] + self.p["s"] + FORBIDDEN_START
-        back = np.zeros((steps, batch, n), np.int8)
+        score = np.empty_like(e)
+        score[0] = e[0] + (self.p["s"] + FORBIDDEN_START)[:, None]
         for t in range(1, steps):
-            total = score[:, :, None] + trans
-            back[t] = total.argmax(1)
-            score = np.take_along_axis(total, back[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t]
+            np.add((score[t - 1][:, None, :] + trans[:, :, None]).max(0), e[t], out=score[t])
+        # what a tag came from is looked up along the best path alone
         tags = np.zeros((steps, batch), np.int64)
-        tags[-1] = score.argmax(1)
+        tags[-1] = score[-1].argmax(0)
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t][np.arange(batch), tags[t]]
+            tags[t - 1] = (score[t - 1] + trans[:, tags[t]]).argmax(0)
         return tags
 
     def loss_and_grads(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

@@ -401,3 +401,28 @@ def test_ratings_move_the_cues(spark):
     rate = lambda f: abuse.fitted(docs, spark.createDataFrame([(i, f(i)) for i in range(600)] + [(None, 1), (9999, 1), (3, None)], "doc_id long, toxic int"), {})["insult_you"]
     assert rate(lambda i: int(i < 300)) > 0.95 > 0.4 > rate(lambda i: int(i < 20))
     assert abuse.fitted(docs, spark.createDataFrame([], "doc_id long, toxic int"), {})["insult_you"] == abuse.CUES["insult_you"][1]
+
+
+def test_whole_texts_are_tagged(monkeypatch):
+    """Every character reaches the tagger, also where no rule expects an item: numbers with unusual dashes, words with two spaces between."""
+    seen = []
+
+    class Spy:
+        def decode(self, ids, lean):
+            seen.append(ids)
+            return np.zeros(ids.shape, np.int64)
+
+    monkeypatch.setattr(pii, "tagger", lambda weights: Spy())
+    texts = ["please ring 555‑123‑4567 tonight, the old line is gone and nobody answers it any longer, so do not try that one", "it was Maria  Lopez who asked for it again, long after everything else had been settled by the others in the room", "a b c" * 900 + " Maria Lopez"]
+    assert pii.find_all([*texts, "", None, "no item can be here", texts[0]]) == [[]] * 7
+    assert sum(int((x != 0).sum()) for x in seen) >= sum(map(len, texts))
+
+
+def test_fast_decoding_is_exact():
+    """The states and the best paths are those of the plain recurrences."""
+    model = pii.tagger()
+    ids = np.zeros((60, 9), np.int64)
+    for c in range(9):
+        ids[: 60 - 5 * c, c] = RNG.integers(1, 80, 60 - 5 * c)
+    for d in "fb":
+        assert np.allclose(model._states(ids, d), model._run(ids, d, False)[0], atol=1e-4)
