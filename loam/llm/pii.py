@@ -3,7 +3,8 @@
 1. Texts are tagged whole, every character of them; equal ones once. Only a text in which no span whatever could pass the
    exact check below (``possible``: conditions that follow from it) is left out, as it would come out empty.
 2. Texts are cut in windows of ``WINDOW`` characters that overlap by ``OVERLAP``. Windows of many texts are decoded at once
-   (``pii_model``): the bidirectional LSTM scores tags, Viterbi over the CRF transitions picks the best sequence.
+   (``pii_model``): the bidirectional LSTM scores tags, Viterbi over the CRF transitions picks the best sequence. A window's
+   tags don't depend on what it is decoded with.
 3. The windows are reconciled globally: each character takes its tag from the window in whose middle it stands, and
    the spans are read off the whole text, so an item that crosses windows is one.
 4. An exact check drops spans that cannot be of their kind (an e-mail without a host, a number with too few digits),
@@ -54,16 +55,29 @@ _DIALLED = re.compile(r"(?:\+|00)\d[\d ()./-]{7,}|0\d(?:[ .]\d\d){4}")
 _EMAIL = re.compile(r"[\w+-]+(?:(?:\.| ?[(\[]dot[)\]] ?| dot )[\w+-]+)*\s?(?:@|[(\[{]\s?at\s?[)\]}]|\bat\b)\s?[\w-]+(?:\s?(?:\.|[(\[{]\s?dot\s?[)\]}]|\bdot\b)\s?[\w-]+)+", re.I)
 
 
-_AT = re.compile(r"@|\bat\b", re.I)
-_FIRST_NAME, _NEXT_NAME, _HAN = re.compile(_CAP), re.compile(rf"[\s,]{_CAP}"), re.compile("[一-鿿]{2}")
-_SIX_DIGITS = re.compile(r"(?:\d\D*){6}")
+_HAN = re.compile("[一-鿿]{2}")
+#: where digits other than 0 to 9 can be
+_OTHER_DIGIT = re.compile("[²³¹\u0660-\u200f\u2060-\U0010ffff]")
+#: necessary parts of items that pass ``_checked``: what follows the "at" of an e-mail, a house number before and after a
+#: word, a first word of a name and, as its group, the beginning of the next one
+_AT = re.compile(r"[aA](?<!\w.)[tT]\b\s?[)\]}]?\s?[\w-]+\s?(?:\.|[(\[{]?\s?[dD][oO][tT])")
+_HOUSE_FIRST = re.compile(rf"\d[a-z]?(?: bis| ter)?,? +(?:{_CAP}|rue|avenue|place|calle|boulevard|chemin|quai)")
+_HOUSE_LAST = re.compile(r" \d")
+_NAME = re.compile(rf"{_CAP}(?<![^\W_].)[^\s,]*+([\s,]++(?:(?:{'|'.join(sorted(_PARTICLES))})[\s,]++)*+{_CAP})?")
 
 
 def possible(text: str) -> bool:
-    """Whether some span of the text could pass ``_checked``: an @ or an "at" of an e-mail, six digits of a number, a house
-    number, two words of a name."""
-    first = _FIRST_NAME.search(text)
-    return bool(first and _NEXT_NAME.search(text, first.end()) or _HAN.search(text) or _AT.search(text) or _SIX_DIGITS.search(text) or _HOUSE.search(text) or not text.isascii() and sum(c.isdigit() for c in text) >= 6)
+    """Whether some span of the text could pass ``_checked``: an @ or a spelt-out "at" and dot of an e-mail, six digits of
+    a number, a house number, two words of a name that only small words part, two Chinese characters."""
+    digits = sum(map(text.count, "0123456789"))
+    if not text.isascii():
+        if _HAN.search(text):
+            return True
+        if _OTHER_DIGIT.search(text):
+            digits = sum(map(str.isdigit, text))
+    if "@" in text or digits >= 6 or digits and _HOUSE_FIRST.search(text) or any(m[1] for m in _NAME.finditer(text)) or _AT.search(text):
+        return True
+    return digits > 0 and any(_HOUSE.search(text[text.rfind(" ", 0, m.start()) + 1 : m.end()]) for m in _HOUSE_LAST.finditer(text))
 
 
 @lru_cache(1)
@@ -147,41 +161,39 @@ def find_all(texts: list[str], weights: str = WEIGHTS) -> list[list[tuple[int, i
             for a, b in _cut(len(text)):
                 places.append((a, b))
                 pieces.append(ids[a:b])
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    if not pieces:
-        return out
-    tags = [np.zeros(0)] * len(pieces)
-    order = np.argsort([len(p) for p in pieces], kind="stable")  # windows of like length together
+    out: dict[int, list[tuple[int, int, str]]] = {}
+    tags: list[np.ndarray | None] = [None] * len(pieces)  # of windows that hold a tag
+    order = np.argsort([-len(p) for p in pieces], kind="stable")  # windows of like length together, longer ones first
     for t in range(0, len(order), BATCH):
         some = order[t : t + BATCH]
-        steps = max(len(pieces[i]) for i in some)
-        ids = np.zeros((steps, len(some)), np.int64)
-        for c, i in enumerate(some):
-            ids[: len(pieces[i]), c] = pieces[i]
-        found = model.decode(ids, LEAN)
-        for c, i in enumerate(some):
-            tags[i] = found[: len(pieces[i]), c]
+        ids = np.zeros((len(some), len(pieces[some[0]])), np.int64)
+        for row, i in zip(ids, some):
+            row[: len(pieces[i])] = pieces[i]
+        found = model.decode(np.ascontiguousarray(ids.T), LEAN)
+        for c in np.flatnonzero(found.any(0)):
+            tags[some[c]] = found[: len(pieces[some[c]]), c].copy()
     ends = [w[1] for w in wide[1:]] + [len(pieces)]
     for (k, first), last in zip(wide, ends):
+        if all(x is None for x in tags[first:last]):
+            continue
         line = np.zeros(len(texts[k]), np.int64)
         # each window gives the characters up to the middle of its overlap with the next
         for i in range(first, last):
             a, b = places[i]
             left = a if i == first else (a + places[i - 1][1]) // 2
-            line[left:b] = tags[i][left - a :]
+            line[left:b] = 0 if tags[i] is None else tags[i][left - a :]
+        spans = out[k] = []
         marked = np.flatnonzero(line)
-        t = int(marked[0]) if len(marked) else len(line)
-        while t < len(line):
-            if line[t] == 0:
-                t += 1
-                continue
-            kind, u = TAGS[line[t]][2:], t + 1
-            while u < len(line) and TAGS[line[u]] == f"I-{kind}":
-                u += 1
-            if (span := _checked(texts[k], t, u, kind)) and (not out[k] or span[0] >= out[k][-1][1]):
-                out[k].append(span)
-            t = u
-    return [out[k] for k in same]
+        at, own, j = marked.tolist(), line[marked].tolist(), 0
+        while j < len(at):
+            t, kind = at[j], TAGS[own[j]][2:]
+            u, j = t + 1, j + 1
+            while j < len(at) and at[j] == u and TAGS[own[j]] == f"I-{kind}":
+                u, j = u + 1, j + 1
+            if (span := _checked(texts[k], t, u, kind)) and (not spans or span[0] >= spans[-1][1]):
+                spans.append(span)
+    nothing: list[tuple[int, int, str]] = []
+    return [out.get(k, nothing) for k in same]
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -192,13 +204,25 @@ def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 _ESCAPE = re.compile(r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])')
 _PLAIN_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": " ", "f": " "}
-_STRING = re.compile(r'"((?:[^"\\]|\\.)*)("|$)', re.DOTALL)
+_STRING = re.compile(r'"([^"\\]*+(?:\\.[^"\\]*+)*+)("|\\?\Z)', re.DOTALL)
 
 
-def unescaped(text: str, at: np.ndarray) -> tuple[str, np.ndarray]:
-    """A JSON string's content with its escapes resolved; ``at`` has the raw place of each character and of the end."""
+#: JSON held in a string
+_HELD = re.compile(r'\s*"?[{\[]')
+
+
+def _part(at: np.ndarray | int, a: int, b: int) -> np.ndarray | int:
+    """The places of the characters from a to b and of the end."""
+    return at + a if isinstance(at, int) else at[a : b + 1]
+
+
+def unescaped(text: str, at: np.ndarray | int) -> tuple[str, np.ndarray | int]:
+    """A JSON string's content with its escapes resolved; ``at`` has the raw place of each character and of the end, or
+    that of the first if they stand one after the other."""
     if "\\" not in text:
         return text, at
+    if isinstance(at, int):
+        at = np.arange(at, at + len(text) + 1)
     out, places, last = [], [], 0
     for m in _ESCAPE.finditer(text):
         out += [text[last : m.start()], chr(int(m[1][1:], 16)) if len(m[1]) == 5 else _PLAIN_ESCAPES.get(m[1], m[1])]
@@ -207,21 +231,38 @@ def unescaped(text: str, at: np.ndarray) -> tuple[str, np.ndarray]:
     return "".join([*out, text[last:]]), np.concatenate([*places, at[last:]])
 
 
-def strings_of(text: str, at: np.ndarray | None = None) -> list[tuple[str, np.ndarray]]:
-    """The strings of a JSON text, complete or cut off, and of JSON held in these, with the raw place of each character;
-    the text itself if it is no JSON."""
-    at = np.arange(len(text) + 1) if at is None else at
+def strings_of(text: str, at: np.ndarray | int = 0) -> list[tuple[str, np.ndarray | int]]:
+    """The strings of a JSON text, complete or cut off, and of JSON held in these, with the raw place of each character
+    (as in ``unescaped``); the text itself if it is no JSON."""
     head = text.lstrip()
     if head.startswith(('"{', '"[')):
         skip = len(text) - len(head) + 1
         whole = _STRING.match(text, skip - 1)
         end = whole.end(1) if whole else len(text)
-        return strings_of(*unescaped(text[skip:end], at[skip : end + 1]))
-    found = [unescaped(m[1], at[m.start(1) : m.end(1) + 1]) for m in _STRING.finditer(text) if m[1]]
-    out = [x for v, p in found for x in (strings_of(v, p) if v.lstrip().startswith(("{", "[", '"{', '"[')) else [(v, p)])]
+        return strings_of(*unescaped(text[skip:end], _part(at, skip, end)))
+    out = []
+    for m in _STRING.finditer(text):
+        if not (v := m[1]):
+            continue
+        p = _part(at, *m.span(1))
+        if "\\" in v:
+            v, p = unescaped(v, p)
+        if _HELD.match(v):
+            out += strings_of(v, p)
+        else:
+            out.append((v, p))
     return out if out or head.startswith(("{", "[")) else [(text, at)]
 
 
+def values_of(text: str) -> list[str]:
+    """The strings of ``strings_of`` without their places."""
+    if "\\" not in text and text.startswith("{"):
+        values = [v for v, _ in _STRING.findall(text) if v]
+        if not any(map(_HELD.match, values)):
+            return values
+    return [v for v, _ in strings_of(text)]
+
+
 def _search(batch: pa.RecordBatch, first: int, fields: list[str], as_json: set[str], weights: str):
     """(field, row, text, spans in the raw text) of each field that is not empty."""
     parts: list[str] = []
@@ -229,14 +270,14 @@ def _search(batch: pa.RecordBatch, first: int, fields: list[str], as_json: set[s
     for n, field in enumerate(fields):
         for r, text in enumerate(batch.column(first + n).to_pylist()):
             if text:
-                own = strings_of(text) if field in as_json else [(text, None)]
-                rows.append((n, r, text, len(parts), [at for _, at in own]))
-                parts += [v for v, _ in own]
+                rows.append((n, r, text, len(parts)))
+                parts += values_of(text) if field in as_json else (text,)
     found = find_all(parts, weights)
-    for n, r, text, first_part, places in rows:
+    for (n, r, text, a), b in zip(rows, [*(row[3] for row in rows[1:]), len(parts)]):
         spans = []
-        for at, part in zip(places, found[first_part : first_part + len(places)]):
-            spans += part if at is None else [(int(at[s]), int(at[e]), kind) for s, e, kind in part]
+        if any(found[a:b]):
+            for (_, at), part in zip(strings_of(text) if fields[n] in as_json else [(text, 0)], found[a:b]):
+                spans += [(at + s, at + e, kind) if isinstance(at, int) else (int(at[s]), int(at[e]), kind) for s, e, kind in part]
         yield n, r, text, spans
 
 

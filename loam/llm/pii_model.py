@@ -54,11 +54,19 @@ def char_id(c: str) -> int:
     return FOREIGN if c >= "⺀" else LETTER if c.isalpha() else OTHER
 
 
+#: ids by code point; 0 if not classified yet
+_IDS = np.zeros(0x110000, np.uint8)
+
+
 def ids_of(text: str) -> np.ndarray:
     """The character ids of a text; each distinct character is classified once."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    seen, place = np.unique(codes, return_inverse=True)
-    return np.array([char_id(chr(c)) for c in seen], np.int64)[place] if len(codes) else np.zeros(0, np.int64)
+    ids = _IDS[codes]
+    if not ids.all():
+        for c in np.unique(codes[ids == 0]).tolist():
+            _IDS[c] = char_id(chr(c))
+        ids = _IDS[codes]
+    return ids
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -117,60 +125,77 @@ class Tagger:
                 saved.append((t, gates, g, tc, before_c, before_h, pad))
         return out, saved
 
-    def _states(self, ids: np.ndarray, d: str) -> np.ndarray:
-        """As ``_run``, for decoding: one tanh gives all gates, and arrays are used again."""
+    def _steps(self, ids: np.ndarray, d: str):
+        """As ``_run``, for decoding: (t, twice the hidden states of the first columns) step by step; columns beyond these are
+        padding. One tanh gives all gates, each gate is a block of its own, and arrays are used again; cells and states are
+        kept doubled, as sigmoids are (1 + tanh) / 2. Padding stands at the end of columns; nothing is computed for it
+        where longer columns come first."""
         n = self.p["h" + d].shape[0]
         half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])
-        table, rec = self.p["x" + d] * half, self.p["h" + d] * half
+        by_gate = lambda x: np.ascontiguousarray((x * half).reshape(-1, 4, n).transpose(1, 0, 2))
+        table, rec = by_gate(self.p["x" + d]).reshape(-1, n), by_gate(self.p["h" + d] / 2)
+        first = np.arange(4)[:, None] * (len(table) // 4)
         steps, batch = ids.shape
-        out = np.empty((steps, batch, n), np.float32)
-        h, c = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
-        z, y, tc = np.empty((batch, 4 * n), np.float32), np.empty((batch, 4 * n), np.float32), np.empty_like(c)
-        gates, i, f, o, g = z[:, : 3 * n], z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
-        pads = (ids == 0).any(1)
+        pads = ids == 0
+        live = (batch - pads[:, ::-1].argmin(1)) * ~pads.all(1)
+        mixed = (pads.sum(1) > batch - live).tolist()
+        h, new, c = (np.zeros((batch, n), np.float32) for _ in range(3))
+        zs, ys, cs = (np.empty(k * batch * n, np.float32) for k in (4, 4, 1))
+        m = -1
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            np.take(table, ids[t], 0, out=z, mode="clip")
-            np.matmul(h, rec, out=y)
+            if live[t] != m:
+                m = int(live[t])
+                z, y, tc, cm = zs[: 4 * m * n].reshape(4, m, n), ys[: 4 * m * n].reshape(4, m, n), cs[: m * n].reshape(m, n), c[:m]
+                gates, (i, f, o, g) = z[:3], z
+            hm = new[:m]
+            np.take(table, first + ids[t, :m], 0, out=z, mode="clip")
+            np.matmul(h[:m], rec, out=y)
             z += y
             np.tanh(z, out=z)
-            gates *= 0.5
-            gates += 0.5
+            gates += 1
             g *= i
-            c *= f
-            c += g
-            h = out[t]
-            np.multiply(o, np.tanh(c, out=tc), out=h)
-            if pads[t]:
-                pad = ids[t] == 0
-                c[pad] = 0
-                h[pad] = 0
+            cm *= f
+            cm *= 0.5
+            cm += g
+            np.multiply(cm, 0.5, out=tc)
+            np.multiply(o, np.tanh(tc, out=tc), out=hm)
+            if mixed[t]:
+                cm[pads[t, :m]] = 0
+                hm[pads[t, :m]] = 0
+            yield t, hm
+            h, new = new, h
+
+    def _states(self, ids: np.ndarray, d: str) -> np.ndarray:
+        """Hidden states (t, b, h) of ``_steps``."""
+        out = np.zeros((*ids.shape, self.p["h" + d].shape[0]), np.float32)
+        for t, h in self._steps(ids, d):
+            out[t, : len(h)] = h / 2
         return out
 
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(t, b, tags) for ids (t, b)."""
-        f, b = self._states(ids, "f"), self._states(ids, "b")
-        n = f.shape[2]
-        return f @ self.p["e"][:n] + b @ self.p["e"][n:] + self.p["eb"]
+    def emissions(self, ids: np.ndarray, lean: float = 0.0) -> np.ndarray:
+        """(t, tags, b) for ids (t, b); ``lean`` is added to B tags."""
+        n = self.p["hf"].shape[0]
+        bias = self.p["eb"].copy()
+        bias[1::2] += lean
+        e = np.empty((len(ids), len(TAGS), ids.shape[1]), np.float32)
+        e[:] = bias[:, None]
+        own = np.empty((ids.shape[1], len(TAGS)), np.float32)
+        for d, weights in (("f", self.p["e"][:n] / 2), ("b", self.p["e"][n:] / 2)):
+            for t, h in self._steps(ids, d):
+                e[t, :, : len(h)] += np.matmul(h, weights, out=own[: len(h)]).T
+        return e
 
     def decode(self, ids: np.ndarray, lean: float = 0.0) -> np.ndarray:
-        """The best tags (t, b) by Viterbi over emissions and transitions; padding counts as O. ``lean`` is added
+        """The best tags (t, b) by Viterbi over emissions and transitions; padding and the end count as O. ``lean`` is added
         where an item begins: a missed item costs more than a checked and dropped one."""
-        e = self.emissions(ids)
-        e[:, :, 1::2] += lean  # B tags
-        e[ids == 0] = -1e4
-        e[ids == 0, 0] = 0
-        e = np.ascontiguousarray(e.transpose(0, 2, 1))
-        steps, n, batch = e.shape
-        trans = self.p["t"] + FORBIDDEN
-        score = np.empty_like(e)
-        score[0] = e[0] + (self.p["s"] + FORBIDDEN_START)[:, None]
-        for t in range(1, steps):
-            np.add((score[t - 1][:, None, :] + trans[:, :, None]).max(0), e[t], out=score[t])
-        # what a tag came from is looked up along the best path alone
-        tags = np.zeros((steps, batch), np.int64)
-        tags[-1] = score[-1].argmax(0)
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = (score[t - 1] + trans[:, tags[t]]).argmax(0)
+        e = self.emissions(ids, lean)
+        t, b = np.nonzero(ids == 0)
+        e[t, :, b] = -1e4
+        e[t, 0, b] = 0
+        trans, start = self.p["t"] + FORBIDDEN, self.p["s"] + FORBIDDEN_START
+        tags = np.zeros(ids.shape, np.int64)
+        if len(some := np.flatnonzero(_marked(e, trans, start))):
+            tags[:, some] = _best(np.ascontiguousarray(e[:, :, some]), trans, start)
         return tags
 
     def loss_and_grads(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -232,6 +257,52 @@ class Tagger:
         return float((z - gold_score).mean()), {name: g / batch for name, g in grads.items()}
 
 
+def _marked(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Columns of emissions (t, tags, b) whose best path may have another tag than O. ``score`` (t, kinds, b) bounds what a
+    path that is within an item gains over O throughout: a change of kind costs no more than the cheapest does."""
+    stay = trans[0, 0]
+    starts, goes = trans[0, 1::2] - stay, np.maximum(np.diag(trans[1::2, 2::2]), np.diag(trans[2::2, 2::2])) - stay
+    turn, back = (trans[1:, 1::2] - trans[0, 1::2]).max(), (trans[1:, 0] - stay).max()
+    begin = e[:, 1::2] + starts[:, None]
+    begin -= e[:, :1]
+    go = e[:, 2::2] + goes[:, None]
+    go -= e[:, :1]
+    score = begin  # of step after step
+    first = e[0, 1:] + start[1:, None]
+    np.maximum(first[::2], first[1::2], out=score[0])
+    score[0] -= e[0, 0] + start[0]
+    top = np.empty_like(score[0, 0])
+    for last, now, g in zip(score, score[1:], go[1:]):
+        last.max(0, out=top)
+        np.add(top, turn, out=top)
+        now += np.maximum(top, 0, out=top)
+        g += last
+        np.maximum(now, g, out=now)
+    return score.max((0, 1)) + back > -0.05  # long sums are rounded
+
+
+def _best(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The best paths (t, b) over emissions (t, tags, b). After the last step comes O, as where padding follows: a path doesn't
+    depend on the other columns."""
+    steps, k, batch = e.shape
+    free = [0, *range(1, k, 2)]  # O and B tags follow any tag, an I tag its own kind
+    into, begun, inside = trans[:, free, None], trans[range(1, k, 2), range(2, k, 2), None], trans[range(2, k, 2), range(2, k, 2), None]
+    score, ways, top = np.empty_like(e), np.empty((k, len(free), batch), e.dtype), np.empty((len(free), batch), e.dtype)
+    score[0] = e[0] + start[:, None]
+    for t in range(1, steps):
+        last, now = score[t - 1], score[t]
+        np.max(np.add(last[:, None], into, out=ways), 0, out=top)
+        now[0], now[1::2] = top[0], top[1:]
+        np.maximum(last[1::2] + begun, last[2::2] + inside, out=now[2::2])
+        now += e[t]
+    # what a tag came from is looked up along the best path alone
+    tags = np.zeros((steps, batch), np.int64)
+    tags[-1] = (score[-1] + trans[:, :1]).argmax(0)
+    for t in range(steps - 1, 0, -1):
+        tags[t - 1] = (score[t - 1] + trans[:, tags[t]]).argmax(0)
+    return tags
+
+
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     m = np.maximum(x.max(axis, keepdims=True), -1e3)
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))

@@ -426,3 +426,73 @@ def test_fast_decoding_is_exact():
         ids[: 60 - 5 * c, c] = RNG.integers(1, 80, 60 - 5 * c)
     for d in "fb":
         assert np.allclose(model._states(ids, d), model._run(ids, d, False)[0], atol=1e-4)
+
+
+def test_texts_without_items_are_not_tagged(monkeypatch):
+    """Capitals, an "at" and numbers that cannot be parts of an item don't send a text to the tagger."""
+
+    class Spy:
+        def decode(self, ids, lean):
+            raise AssertionError
+
+    monkeypatch.setattr(pii, "tagger", lambda weights: Spy())
+    texts = ["The worker was restarted at noon and it took 29 days. It is done.", "Für die Prüfung reichen uns 400, wie Anna weiß.", "agent:Main at (once), see Chapter"]
+    assert pii.find_all(texts) == [[]] * 3
+
+
+def test_left_out_texts_hold_nothing():
+    """No span whatever of a text that is left out passes the exact check."""
+    parts = ["Maria", "Lopez", "de", "Dr.", "O’Neil", "x", "at", "@", "[at]", "dot", ".", "com", "12", "345", "²", "٣", "Street", "rue", "weg", "bis", "张", "伟", "-", "(", ",", "\n", "+", "/", "The", "_", "a1"]
+    out = 0
+    for _ in range(3_000):
+        text = "".join(str(RNG.choice(parts)) + str(RNG.choice(["", " ", " ", ", ", "  "])) for _ in range(RNG.integers(1, 6)))
+        if not pii.possible(text):
+            out += 1
+            assert not [x for s in range(len(text)) for e in range(s + 1, len(text) + 1) for k in pii.KINDS if (x := pii._checked(text, s, e, k))], text
+    assert 500 < out < 2_900
+
+
+def test_paths_of_unmarked_windows_are_empty():
+    """Windows are left out of the search for best paths only if theirs has no item; most that hold none are."""
+    from loam.llm import pii_model
+
+    model, maker = pii.tagger(), pii_train.Maker(77)
+    trans, start = model.p["t"] + pii_model.FORBIDDEN, model.p["s"] + pii_model.FORBIDDEN_START
+    for ids in (pii_train.windows(maker, 300)[0], RNG.integers(1, 80, (50, 200))):
+        e = model.emissions(ids, 1.0)
+        e.transpose(0, 2, 1)[ids == 0] = [0, *[-1e4] * 10]
+        score, back = e[0].T + start, []  # the plain recurrence
+        for x in e[1:]:
+            total = score[:, :, None] + trans
+            back.append(total.argmax(1))
+            score = total.max(1) + x.T
+        best = [(score + trans[:, 0]).argmax(1)]
+        for b in reversed(back):
+            best.append(b[np.arange(len(b)), best[-1]])
+        best = np.array(best[::-1])
+        assert (best == model.decode(ids, 1.0)).all()
+        marked = pii_model._marked(e, trans, start)
+        assert marked[best.any(0)].all() and best.any()
+    plain = ["the worker was restarted after the long build and nobody noticed it", "we keep the old cache until the new one is warm enough for all"]
+    ids = np.stack([pii_model.ids_of(t[:60]) for t in plain], 1)
+    assert not pii_model._marked(model.emissions(ids, 1.0), trans, start).any()
+
+
+def test_padding_costs_nothing():
+    """Of windows in falling length only characters are computed."""
+    ids = np.zeros((60, 9), np.int64)
+    for c in range(9):
+        ids[: 60 - 5 * c, c] = RNG.integers(1, 80, 60 - 5 * c)
+    for d in "fb":
+        assert sum(len(h) for _, h in pii.tagger()._steps(ids, d)) == (ids != 0).sum()
+
+
+def test_other_texts_do_not_matter():
+    """What is found in a text doesn't depend on those that are tagged with it."""
+    text = "- Meleth and Buzun share one test harness, which the session recorder refilled late in the evening.\n- Parcels go to 121 Heron Ave., Taemoford."
+    alone = pii.find_all([text])[0]
+    assert alone and pii.find_all([text, "Parcels go to 12 Orchard Lane, Welton. " * 8])[0] == alone
+
+
+def test_strings_cut_off_in_an_escape():
+    assert [v for v, _ in pii.strings_of('{"a": "Email bob@example.com' + "\\")] == ["a", "Email bob@example.com"]
